@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyobs.llm import language_id, mixing, sentencepiece_bpe, sharding, simhash, tiff
+from skyobs.llm import fingerprint, language_id, mixing, sentencepiece_bpe, sharding, simhash, tiff, warc
+from skyobs.llm.runtime import shared_folder
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +19,16 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_pairs(_documents(spark, sf_dir))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    back = warc.write_and_read(pages, shared_folder(spark, "warc"))
+    return back.select(F.col("number").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "date")
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(_documents(spark, sf_dir), tokenizer_path())
 
@@ -46,7 +57,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_sentencepiece, op6_tiff, op7_simhash, op8_sharding, op9_language_id, op10_mixing)
+    for f in (op1_fingerprint, op2_warc, op3_sentencepiece, op6_tiff, op7_simhash, op8_sharding, op9_language_id, op10_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,10 +16,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
     Where that setting is absent (single-machine tests), a temporary folder serves.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="skyobs-checkpoint-"))
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -31,3 +29,16 @@ def bounded_batches(spark: SparkSession) -> None:
 def partitions(spark: SparkSession) -> int:
     """The session's shuffle parallelism."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path under the shared checkpoint folder, for a table that an operator writes."""
+    return f"{_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _checkpoint_dir(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = context.getConf().get("spark.checkpoint.dir")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="skyobs-checkpoint-"))
+    return context.getCheckpointDir()
