@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyobs.llm import fingerprint, kneser_ney, language_id, mixing, sentencepiece_bpe, sharding, simhash, tiff, warc
+from skyobs.llm import fingerprint, kneser_ney, language_id, mixing, sentencepiece_bpe, sharding, simhash, suffix_dedup, tiff, warc
 from skyobs.llm.runtime import shared_folder
 
 
@@ -37,6 +37,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.classified(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(_documents(spark, sf_dir))
+
+
 def op6_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.media_rows(_documents(spark, sf_dir))
 
@@ -61,7 +65,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_fingerprint, op2_warc, op3_sentencepiece, op4_quality, op6_tiff, op7_simhash, op8_sharding, op9_language_id, op10_mixing)
+    for f in (op1_fingerprint, op2_warc, op3_sentencepiece, op4_quality, op5_suffix_array, op6_tiff, op7_simhash, op8_sharding, op9_language_id, op10_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {}
