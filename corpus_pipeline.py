@@ -1,8 +1,62 @@
-"""A corpus pipeline of five stages over documents; each stage's rows are written and read again."""
+"""A corpus pipeline of five stages over documents; each stage's rows are written and read again.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return
+the columns of docs, whichever they are, so a text that a stage changes is what the next one sees; n_chars
+follows the text where that column is present.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skyobs.llm import kneser_ney, mixing, sentencepiece_bpe, simhash, suffix_dedup
+from skyobs.llm.queries import tokenizer_path
+from skyobs.llm.runtime import shared_folder
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity under the model of trusted text is under their language's threshold."""
+    return kneser_ney.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group that SimHash links connect."""
+    return simhash.one_of_each(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the characters inside byte strings that also start earlier; documents left without text go."""
+    return suffix_dedup.without_repeats(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once or twice."""
+    return mixing.mixed_rows(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, with begin and end, and digests of ids and decoded text."""
+    return sentencepiece_bpe.tokenized(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("SimHash near-dedup", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("mixing sources to target weights", mixture),
+    ("SentencePiece encoding and decoding", tokens),
+]
+
+#: SQL can't express the stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages, one after the other, on documents; what each returns is written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        folder = shared_folder(spark, "stage")
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -224,7 +224,7 @@ def classified(
     docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, allowance: float = ALLOWANCE, broadcast_rows: int = BROADCAST_ROWS,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> DataFrame:
-    """doc_id, lang, trusted, perplexity, threshold and kept for every document.
+    """doc_id, lang, n_bytes, trusted, perplexity, threshold and kept for every document.
 
     Trusted are documents with a label of quality 1 that is not toxic; all their text trains the model. A
     language's threshold is a quantile of its trusted documents' perplexities, times an allowance that is
@@ -246,4 +246,12 @@ def classified(
     joined = marked.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left").crossJoin(F.broadcast(of_all))
     threshold = F.coalesce("own", "of_all") * F.exp(F.lit(ERRORS) / F.sqrt(F.greatest(F.col("n_bytes"), F.lit(1))))
     kept = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= threshold, F.lit(True))
-    return joined.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), "trusted", "perplexity", threshold.alias("threshold"), kept.alias("kept"))
+    return joined.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), "n_bytes", "trusted", "perplexity", threshold.alias("threshold"), kept.alias("kept"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, order: int = ORDER, broadcast_rows: int = BROADCAST_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs, all their columns, that `classified` keeps. Rows of one id, language and length share the decision for the best of them."""
+    found = classified(docs, labels, order, broadcast_rows=broadcast_rows, id_col=id_col, text_col=text_col, lang_col=lang_col)
+    good = checkpointed(found.filter("kept").select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col("n_bytes").alias("_size")).distinct())
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(lang_col).eqNullSafe(F.col("_lang")) & (F.coalesce(F.octet_length(text_col), F.lit(0)) == F.col("_size"))
+    return docs.join(good, same, "left_semi")

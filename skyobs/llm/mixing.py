@@ -93,21 +93,37 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: float =
     source is a source; rows with a null id and equal size are taken together; repeated rows too. An empty
     table gives an empty one. Columns of other names are ignored.
     """
-    rows = checkpointed(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")).withColumn(
-            "h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id", "size"), 1)
-        )
+    rows = checkpointed(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")).withColumn("h", _draw(seed, "id", "size")))
+    copies = (F.col("whole") + (F.col("h") < F.col("bound")).cast("int")).cast("int")
+    return rows.join(_plan(rows, weights, budget, most), F.col("source").eqNullSafe(F.col("name"))).select(
+        F.col("id").alias(id_col), "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )
+
+
+def _draw(seed: int, *columns):
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 1)
+
+
+def _plan(rows: DataFrame, weights, budget: float, most: float) -> DataFrame:
+    """name, source_size, target, whole and bound: a row for each source of rows(source, size, h)."""
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = checkpointed(
         source_targets(sizes, weights, budget, most)
         .withColumn("whole", F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size").cast("double")) + F.lit(1e-12)), F.lit(0)))
         .withColumn("rest", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
     )
-    plan = targets.alias("t").join(hash_thresholds(rows, targets.filter("rest > 0")).alias("b"), F.col("t.source").eqNullSafe(F.col("b.source")), "left").select(
+    bounds = hash_thresholds(rows, targets.filter("rest > 0"))
+    return targets.alias("t").join(bounds.alias("b"), F.col("t.source").eqNullSafe(F.col("b.source")), "left").select(
         F.col("t.source").alias("name"), "source_size", "target", "whole", F.coalesce("bound", F.lit(0)).alias("bound")
     )
+
+
+def mixed_rows(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """docs, all their columns, each row as often as `mix` takes it. Texts don't move but to the few rows of the plan."""
+    size = word_count(F.col(text_col))
+    rows = checkpointed(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")).withColumn("h", _draw(seed, "id", "size")))
+    plan = checkpointed(_plan(rows, weights, budget, most).select("name", "whole", "bound"))
+    marked = docs.select(F.struct(*docs.columns).alias("row"), F.col(source_col).alias("source"), _draw(seed, F.col(id_col), size).alias("h"))
     copies = (F.col("whole") + (F.col("h") < F.col("bound")).cast("int")).cast("int")
-    return rows.join(plan, F.col("source").eqNullSafe(F.col("name"))).select(
-        F.col("id").alias(id_col), "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
-    )
+    taken = marked.join(plan, F.col("source").eqNullSafe(F.col("name"))).filter(copies > 0)
+    return taken.select("row", F.explode(F.sequence(F.lit(1), copies)).alias("copy")).select("row.*")

@@ -256,6 +256,14 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     )
 
 
+def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Like digests, with ids (array of int) besides."""
+    return _mapped(
+        docs, path, id_col, text_col, "ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string",
+        lambda ids, text: (memoryview(ids).cast("I").tolist(), len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest()),
+    )
+
+
 def _mapped(docs: DataFrame, path: str, id_col: str, text_col: str, returns: str, make) -> DataFrame:
     """Rows of make(ids, decoded) beside the id. The model is read on the driver and travels with the code: it is one file of bounded size."""
     bounded_batches(docs.sparkSession)

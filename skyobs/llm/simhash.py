@@ -175,3 +175,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(smallest, "root").select(F.col("fp").alias("node"), "component_id")
     return marked.join(named, marked["fp"] == named["node"]).select(id_col, "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all their columns, whose id is the smallest of its group; groups without any id stay.
+
+    Rows of one id stay or go together.
+    """
+    found = near_duplicates(docs, id_col, text_col)
+    kept = checkpointed(found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct())
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")

@@ -357,3 +357,27 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     out = joined.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.withColumnRenamed("id", id_col)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
+    """docs, all their columns, with what `digests` removes cut from the texts, at code point borders.
+
+    Texts of which nothing is left go, as do null and empty ones. count_col, if docs has it, gets the new length.
+    """
+    others = [c for c in docs.columns if c != text_col]
+    joined = _with_spans(docs, id_col, text_col, others)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, spans in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text", "spans")), strict=True):
+                raw = text.encode()
+                texts.append(without(raw, whole_characters(raw, merged(spans or []))).decode())
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(batch.schema.get_field_index("others"))], names=["text", "others"])
+
+    kind = joined.schema["others"].dataType.simpleString()
+    out = joined.select("text", "spans", "others").mapInArrow(run, f"text string, others {kind}").filter("text != ''")
+    made = {c: F.col("others").getField(c) for c in others} | {text_col: F.col("text")}
+    if count_col in docs.columns:
+        made[count_col] = F.length("text").cast(docs.schema[count_col].dataType)
+    return out.select(*[made[c].alias(c) for c in docs.columns])
