@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 
-def flagship(spark, sf_dir):
-    return queries()["gaps_season"](spark, sf_dir)
+from skyobs.plans import availability
+
+MODULES = [availability]
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seasonal gap statistics, validated and pivoted."""
+    return queries()["gaps_stats_wide"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in MODULES for k, v in m.SQL.items()}
