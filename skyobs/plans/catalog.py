@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyobs.plans import availability
+from skyobs.plans import availability, evaluation, spatial
 
-MODULES = [availability]
+MODULES = [availability, spatial, evaluation]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
