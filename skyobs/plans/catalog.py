@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyobs.plans import availability, evaluation, spatial
+from skyobs.plans import availability, evaluation, pixels, spatial
 
-MODULES = [availability, spatial, evaluation]
+MODULES = [availability, spatial, evaluation, pixels]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
