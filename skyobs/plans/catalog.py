@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyobs.plans import availability, evaluation, pixels, spatial
+from skyobs.plans import availability, evaluation, models, pixels, spatial
 
-MODULES = [availability, spatial, evaluation, pixels]
+MODULES = [availability, spatial, evaluation, pixels, models]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
