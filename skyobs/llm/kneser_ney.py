@@ -236,7 +236,9 @@ def classified(
     """
     slim = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.coalesce(F.octet_length(text_col), F.lit(0)).alias("n_bytes"), F.col(text_col).alias("text"))
     good = labels.filter((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select(F.col("doc_id").alias("good")).distinct()
-    model = model_of(gram_counts(slim.join(good, F.col("id") == F.col("good"), "left_semi").select("text"), order), order)
+    # labels grow with the corpus: they are never broadcast, however few they are here
+    training = slim.select("id", "text").join(good.hint("merge"), F.col("id") == F.col("good"), "left_semi").select("text")
+    model = model_of(gram_counts(training, order), order)
     scored = checkpointed(perplexity(slim, model, order, broadcast_rows))
     marked = checkpointed(scored.join(good, F.col("id") == F.col("good"), "left").withColumn("trusted", F.col("good").isNotNull()).drop("good"))
     own = marked.filter("trusted and perplexity is not null")
