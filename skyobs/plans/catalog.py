@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyobs.plans import availability, evaluation, models, pixels, spatial
+from skyobs.plans import availability, evaluation, models, pixels, reports, spatial
 
-MODULES = [availability, spatial, evaluation, pixels, models]
+MODULES = [availability, spatial, evaluation, pixels, models, reports]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

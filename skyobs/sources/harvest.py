@@ -65,9 +65,8 @@ def retry(call: Callable, attempts: int = 5, base: float = 1.0, retryable: Calla
             sleep(base * 2**k * (1 + random.random() / 4))
 
 
-def sites(spark: SparkSession, named: list[tuple[str, float, float, str]], replicas: int = 1, step: float = 37.0, half: float = 0.25) -> DataFrame:
-    """Boxes around named places (name, lon, lat, regime), repeated along their parallels."""
-    base = spark.createDataFrame(named, "name string, lon double, lat double, regime string")
-    out = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))).alias("replica"))
+def site_boxes(named: DataFrame, replicas: int = 1, step: float = 37.0, half: float = 0.25) -> DataFrame:
+    """Boxes around named(name, lon, lat, regime), repeated along their parallels: site, lon, lat, regime and bounds."""
+    out = named.withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))))
     lon = F.pmod(F.col("lon") + F.col("replica") * step + 180, F.lit(360.0)) - 180
     return out.select(F.concat_ws("#", "name", F.col("replica").cast("string")).alias("site"), lon.alias("lon"), "lat", "regime", (lon - half).alias("west"), (F.col("lat") - half).alias("south"), (lon + half).alias("east"), (F.col("lat") + half).alias("north"))
