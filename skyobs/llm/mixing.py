@@ -15,6 +15,17 @@ WEIGHTS = (5, 2, 1)
 BUDGET, MOST = 1.5, 2.0
 #: Each of LEVELS histograms splits a bucket by so many further bits of the hash.
 DIGIT_BITS, LEVELS = 10, 4
+#: A source's rows are dealt to so many parts where they meet the plan, so that a hot one has no task of its own.
+PARTS = 64
+
+
+def _part(h):
+    return F.pmod(h, F.lit(PARTS))
+
+
+def _each_part(plan: DataFrame) -> DataFrame:
+    """plan once for each part: a row a source times PARTS."""
+    return plan.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
 
 
 def word_count(text):
@@ -62,7 +73,10 @@ def hash_thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
         shift = 63 - DIGIT_BITS * (level + 1)
         inside = (
             rows.alias("r")
-            .join(found.alias("f"), F.col("r.source").eqNullSafe(F.col("f.source")) & (F.shiftright(F.col("r.h"), shift + DIGIT_BITS) == F.col("f.prefix")))
+            .join(
+                _each_part(found).alias("f"),
+                F.col("r.source").eqNullSafe(F.col("f.source")) & (_part(F.col("r.h")) == F.col("f.part")) & (F.shiftright(F.col("r.h"), shift + DIGIT_BITS) == F.col("f.prefix")),
+            )
             .groupBy(F.col("f.source").alias("source"), F.col("f.prefix").alias("prefix"), F.col("f.rest").alias("rest"), F.shiftright(F.col("r.h"), shift).alias("bucket"))
             .agg(F.sum("r.size").cast("double").alias("size"))
         )
@@ -95,7 +109,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: float =
     """
     rows = checkpointed(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")).withColumn("h", _draw(seed, "id", "size")))
     copies = (F.col("whole") + (F.col("h") < F.col("bound")).cast("int")).cast("int")
-    return rows.join(_plan(rows, weights, budget, most), F.col("source").eqNullSafe(F.col("name"))).select(
+    plan = _each_part(_plan(rows, weights, budget, most))
+    return rows.join(plan, F.col("source").eqNullSafe(F.col("name")) & (_part(F.col("h")) == F.col("part"))).select(
         F.col("id").alias(id_col), "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )
 
@@ -125,5 +140,5 @@ def mixed_rows(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: f
     plan = checkpointed(_plan(rows, weights, budget, most).select("name", "whole", "bound"))
     marked = docs.select(F.struct(*docs.columns).alias("row"), F.col(source_col).alias("source"), _draw(seed, F.col(id_col), size).alias("h"))
     copies = (F.col("whole") + (F.col("h") < F.col("bound")).cast("int")).cast("int")
-    taken = marked.join(plan, F.col("source").eqNullSafe(F.col("name"))).filter(copies > 0)
+    taken = marked.join(_each_part(plan), F.col("source").eqNullSafe(F.col("name")) & (_part(F.col("h")) == F.col("part"))).filter(copies > 0)
     return taken.select("row", F.explode(F.sequence(F.lit(1), copies)).alias("copy")).select("row.*")
