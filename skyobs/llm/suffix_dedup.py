@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from skyobs.llm.runtime import bounded_batches, shared_folder
+from skyobs.llm.runtime import bounded_batches, checkpointed, shared_folder
 from skyobs.llm.suffix_array import suffix_array
 
 #: Length of a repeated string, and of the grams of which each window of that length has one as its anchor.
@@ -19,6 +20,8 @@ LENGTH, GRAM = 100, 32
 SLICE, SORTED_TOGETHER = 1 << 20, 1 << 20
 #: Distinct contexts of an anchor up to which they are suffix-sorted in one task; the windows of a larger group are dealt out one by one.
 TOGETHER = 24_000
+#: Anchors, or contexts, with over one in so many of all occurrences are hot: there can't be more of them than this, so they are broadcast.
+HOT_SHARE = 2_000
 FIRST = -(1 << 63)
 
 
@@ -245,6 +248,12 @@ def _emit_windows(a: np.ndarray, k: np.ndarray, p: np.ndarray, contents: list[by
         yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(kk, pa.int64()), pa.array(tag, pa.int64()), pa.array(start, pa.int64())], names=["w", "k", "tag", "start"])
 
 
+def _hot(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of counted(keys, n) with over one HOT_SHARE-th of the sum of n: HOT_SHARE at most, for broadcast."""
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    return F.broadcast(counted.filter(F.col("n") > max(1, total // HOT_SHARE)))
+
+
 def repeated_spans(rows: DataFrame) -> DataFrame:
     """k, tag and spans: per text the byte spans covered by LENGTH-byte strings that also start earlier.
 
@@ -258,20 +267,31 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
        anchor, suffix-sorted by the difference-cover algorithm where they land, and neighbours' prefixes
        compared. Equal windows have equal anchors, so no match is lost between tasks. The windows of an
        anchor with more than TOGETHER distinct contexts are dealt by a hash of each window instead.
-    No group is gathered whole: steps 1 and 2 are aggregates and joins of fixed-width rows.
+    No group is gathered whole: steps 1 and 2 are aggregates and joins of fixed-width rows, in which the few
+    hot keys are matched by broadcast.
     """
     spark = rows.sparkSession
     text = rows.select("k", "tag", "text")
     counts = text.select("text").mapInArrow(_anchor_counts, "a long, n long").groupBy("a").agg(F.sum("n").alias("n"))
-    shared = counts.filter("n > 1").select("a")
-    kept = text.mapInArrow(_context_rows, "a long, c long, k long, p long").join(shared, "a", "left_semi")
+    shared = checkpointed(counts.filter("n > 1"))
+    hot = _hot(shared, ["a"]).select(F.col("a").alias("hot_a"))
+    marked = text.mapInArrow(_context_rows, "a long, c long, k long, p long").join(hot, F.col("a") == F.col("hot_a"), "left").withColumn("hot", F.col("hot_a").isNotNull())
+    # hot anchors' rows are kept as they are; each gets a key of its own, so that they don't meet in one task
+    dealt = marked.withColumn("by", F.when(F.col("hot"), F.xxhash64("k", "p")).otherwise(F.col("a"))).join(shared.select(F.col("a").alias("by"), F.lit(True).alias("twice")), "by", "left")
+    kept = dealt.filter("hot or twice").select("a", "c", "k", "p")
     folder = shared_folder(spark, "contexts")
     kept.write.parquet(folder)
     found = spark.read.schema("a long, c long, k long, p long").parquet(folder)
 
-    firsts = found.groupBy("a", "c").agg(F.min(F.struct("k", "p")).alias("first"))
+    distinct = found.groupBy("a", "c").agg(F.min(F.struct("k", "p")).alias("first"), F.count(F.lit(1)).alias("n"))
+    folder = shared_folder(spark, "firsts")
+    distinct.write.parquet(folder)
+    firsts = spark.read.schema("a long, c long, first struct<k: long, p: long>, n long").parquet(folder)
     start = F.shiftright("p", 8).bitwiseAND(F.lit(0xFFFFFFFF))
-    later = found.join(firsts, ["a", "c"]).filter(F.struct("k", "p") > F.col("first")).select(
+    hot_first = _hot(firsts, ["a", "c"]).select(F.col("a").alias("hot_a"), F.col("c").alias("hot_c"), F.col("first").alias("hot_first"))
+    spread = found.join(hot_first, (F.col("a") == F.col("hot_a")) & (F.col("c") == F.col("hot_c")), "left").withColumn("by", F.when(F.col("hot_first").isNotNull(), F.xxhash64("k", "p")).otherwise(F.col("a")))
+    matched = spread.join(firsts.filter("n > 1").select(F.col("a").alias("by"), "c", "first"), ["by", "c"], "left")
+    later = matched.filter(F.struct("k", "p") > F.coalesce("hot_first", "first")).select(
         "k", F.shiftright("p", 40).alias("tag"), start.alias("start"), (start + F.col("p").bitwiseAND(F.lit(0xFF)) + LENGTH).alias("end")
     )
     several = firsts.groupBy("a").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
@@ -329,7 +349,7 @@ def _with_spans(docs: DataFrame, id_col: str, text_col: str, others: list[str])
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST))
     tag = F.xxhash64(text).bitwiseAND(F.lit((1 << 23) - 1))
     rows = docs.select(key.alias("k"), tag.alias("tag"), text.alias("text"))
-    wide = rows if not others else docs.select(key.alias("k"), tag.alias("tag"), text.alias("text"), F.struct(*others).alias("others"))
+    wide = rows if not others else docs.select(key.alias("k"), tag.alias("tag"), text.alias("text"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("others"))
     return wide.join(repeated_spans(rows), ["k", "tag"], "left")
 
 
@@ -375,8 +395,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 texts.append(without(raw, whole_characters(raw, merged(spans or []))).decode())
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(batch.schema.get_field_index("others"))], names=["text", "others"])
 
-    kind = joined.schema["others"].dataType.simpleString()
-    out = joined.select("text", "spans", "others").mapInArrow(run, f"text string, others {kind}").filter("text != ''")
+    schema = StructType([StructField("text", StringType()), joined.schema["others"]])
+    out = joined.select("text", "spans", "others").mapInArrow(run, schema).filter("text != ''")
     made = {c: F.col("others").getField(c) for c in others} | {text_col: F.col("text")}
     if count_col in docs.columns:
         made[count_col] = F.length("text").cast(docs.schema[count_col].dataType)
