@@ -16,16 +16,25 @@ GAP = "[\\x20\\x09-\\x0D]+"
 FIRST = -(1 << 63)
 
 
+#: Bins that an empty bin asks one after the other; after that many empty ones, all bins are ranked.
+PROBES = 48
+
+
+def let(value: Column, body) -> Column:
+    """body of value as a name for it: evaluated once, however the optimizer rearranges projections."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")
 
 
-def shingle_hashes(words_col: str, shingle: int = SHINGLE) -> Column:
-    """Sorted 64-bit hashes of all shingles of an array of words.
+def shingle_hashes(word_hashes: Column, shingle: int = SHINGLE) -> Column:
+    """Sorted 64-bit hashes of all shingles of an array of hashed words.
 
     Fewer words than a shingle has: the whole sequence is one; no words: the empty sequence is one.
     """
-    w = F.col(words_col)
+    w = word_hashes
     return F.sort_array(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - shingle, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(shingle)])))
 
 
@@ -33,36 +42,40 @@ def bin_of(h: Column) -> Column:
     return F.shiftrightunsigned(h, 64 - BIN_BITS).cast("int")
 
 
-def bin_minima(hashes_col: str) -> Column:
+def bin_minima(h: Column) -> Column:
     """The least hash of each bin that has one. A bin is the leading bits, so in sorted hashes each bin's first is its least."""
-    h = F.col(hashes_col)
     return F.filter(h, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(h, i - 1))))
 
 
-def densified(minima_col: str) -> Column:
+def densified(minima: Column, bins: Column) -> Column:
     """BINS signed bytes: the low-order bits of each bin's minimum.
 
-    An empty bin takes the value of the full bin that comes first in an order of its own, given by a hash
-    of both bins' numbers: what probing with a universal hash until a full bin is hit ends in, in finitely
-    many steps, and the same for every document.
+    An empty bin asks other bins in an order of its own, by a universal hash of its number and the step,
+    until one is full, and takes that one's value: the same order for every document. If PROBES bins are
+    empty, the full bin that a hash of both numbers ranks first gives the value.
     """
-    m = F.col(minima_col)
     low = (1 << KEPT_BITS) - 1
-    own = F.map_from_arrays(F.transform(m, bin_of), m)
-    order = lambda k: lambda x: F.xxhash64(k, bin_of(x)).bitwiseAND(F.lit(~low)).bitwiseOR(x.bitwiseAND(F.lit(low)))
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(BINS - 1)),
-        lambda k: (F.coalesce(F.try_element_at(own, k), F.array_min(F.transform(m, order(k)))).bitwiseAND(F.lit(low)) - (low + 1) // 2).cast("tinyint"),
-    )
+    rank = lambda k: lambda x: F.xxhash64(k, bin_of(x)).bitwiseAND(F.lit(~low)).bitwiseOR(x.bitwiseAND(F.lit(low)))
+    every = F.sequence(F.lit(0), F.lit(BINS - 1))
+    at = F.transform(every, lambda k: F.get(minima, F.array_position(bins, k).cast("int") - 1))
+
+    def fill(full: Column) -> Column:
+        probe = lambda k, t: F.get(full, F.xxhash64(k, F.lit(t)).bitwiseAND(F.lit(BINS - 1)).cast("int"))
+        value = lambda k: F.coalesce(F.get(full, k), *[probe(k, t) for t in range(PROBES)], F.array_min(F.transform(minima, rank(k))))
+        return F.transform(every, lambda k: (value(k).bitwiseAND(F.lit(low)) - (low + 1) // 2).cast("tinyint"))
+
+    return let(at, fill)
+
+
+def packed(text: Column) -> Column:
+    """The packed fingerprint of a text: BINS bytes."""
+    hashed = F.transform(words(text), lambda w: F.xxhash64(w))
+    return let(hashed, lambda w: let(shingle_hashes(w), lambda h: let(bin_minima(h), lambda m: let(F.transform(m, bin_of), lambda b: densified(m, b)))))
 
 
 def with_fingerprint(rows: DataFrame, text: str, name: str) -> DataFrame:
-    """rows with the column `name`: the packed fingerprint of the text column as BINS bytes."""
-    kept = rows.columns
-    out = rows.withColumn("_words", words(F.col(text)))
-    out = out.select(*kept, shingle_hashes("_words").alias("_hashes"))
-    out = out.select(*kept, bin_minima("_hashes").alias("_minima"))
-    return out.select(*kept, densified("_minima").alias(name))
+    """rows with the column `name`: the packed fingerprint of the text column."""
+    return rows.withColumn(name, packed(F.col(text)))
 
 
 def likeness(a: str, b: str) -> Column:
@@ -119,8 +132,7 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     quarter = F.floor(n / 4).cast("int")
     edited = followed.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - quarter), F.substring(F.coalesce("following", F.lit("")), F.lit(1), quarter)))
     kept = edited.select("id", "key", "bucket", "last", "text", "edited", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    marked = with_fingerprint(kept, "text", "fp")
-    marked = with_fingerprint(marked, "edited", "fp_edited").withColumn("fp_next", F.lead("fp").over(spec))
+    marked = with_fingerprint(with_fingerprint(kept, "text", "fp"), "edited", "fp_edited").withColumn("fp_next", F.lead("fp").over(spec))
     return marked.filter(~F.col("last")).select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256", as_hex("fp").alias("fingerprint"), as_hex("fp_edited").alias("edited_fingerprint"),
         likeness("fp", "fp_edited").alias("near_edited"), likeness("fp", "fp_next").alias("near_next"),
