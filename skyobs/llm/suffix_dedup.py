@@ -134,29 +134,31 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if len(a):
                 part = owner[first]
                 text, place = origin[part, 0], first - starts[part] + origin[part, 1]
-                p = tags[text] << 40 | place << 8 | (last - first)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(keys[text]), pa.array(p)], names=["a", "c", "k", "p"])
+                p = place << 8 | (last - first)
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(keys[text]), pa.array(tags[text]), pa.array(p)], names=["a", "c", "k", "tag", "p"])
 
 
-def _spans(k: np.ndarray, p: np.ndarray, of: np.ndarray, offset: np.ndarray) -> pa.RecordBatch:
+def _spans(k: np.ndarray, tag: np.ndarray, p: np.ndarray, of: np.ndarray, offset: np.ndarray) -> pa.RecordBatch:
     """Runs of windows (context number, offset in it), in that order, as byte spans."""
     fresh = np.flatnonzero((of[1:] != of[:-1]) | (offset[1:] != offset[:-1] + 1)) + 1
     begin = np.concatenate(([0], fresh)).astype(np.int64)
     end = np.concatenate((fresh, [len(of)])).astype(np.int64) - 1
-    base = (p >> 8 & 0xFFFFFFFF)[of[begin]]
+    base = (p >> 8)[of[begin]]
     return pa.RecordBatch.from_arrays(
-        [pa.array(k[of[begin]]), pa.array((p >> 40)[of[begin]]), pa.array(base + offset[begin]), pa.array(base + offset[end] + LENGTH)], names=["k", "tag", "start", "end"]
+        [pa.array(k[of[begin]]), pa.array(tag[of[begin]]), pa.array(base + offset[begin]), pa.array(base + offset[end] + LENGTH)], names=["k", "tag", "start", "end"]
     )
 
 
-def repeated_windows(k: np.ndarray, p: np.ndarray, contents: list[bytes]) -> pa.RecordBatch | None:
+def repeated_windows(k: np.ndarray, tag: np.ndarray, p: np.ndarray, contents: list[bytes]) -> pa.RecordBatch | None:
     """Spans of the windows of contexts that also start earlier among these contexts.
 
     The contexts, in the order of their places, are joined with separators and suffix-sorted. Neighbours in
     that order whose first LENGTH bytes are equal form groups, in which all but the earliest are repeated.
     """
-    order = np.lexsort((p, k))
-    k, p = k[order], p[order]
+    order = np.lexsort((p, tag, k))
+    same = (k[order[1:]] == k[order[:-1]]) & (tag[order[1:]] == tag[order[:-1]]) & (p[order[1:]] == p[order[:-1]])
+    order = order[np.concatenate(([True], ~same))]  # of a repeated row, one copy: with more, its windows would all seem to start earlier
+    k, tag, p = k[order], tag[order], p[order]
     contents = [contents[i] for i in order]
     lengths = np.array([len(c) for c in contents])
     starts = np.cumsum(lengths + 1) - lengths - 1
@@ -181,7 +183,7 @@ def repeated_windows(k: np.ndarray, p: np.ndarray, contents: list[bytes]) -> pa.
     again = np.ones(len(raw), bool)
     again[earliest] = False
     hit = np.flatnonzero(again[places])
-    return _spans(k, p, of[hit], offset[hit]) if len(hit) else None
+    return _spans(k, tag, p, of[hit], offset[hit]) if len(hit) else None
 
 
 def _sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +193,7 @@ def _sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush(upto: pa.Table) -> Iterator[pa.RecordBatch]:
         if upto.num_rows > 1:
-            found = repeated_windows(upto["k"].to_numpy(), upto["p"].to_numpy(), upto["content"].to_pylist())
+            found = repeated_windows(upto["k"].to_numpy(), upto["tag"].to_numpy(), upto["p"].to_numpy(), upto["content"].to_pylist())
             if found is not None:
                 yield found
 
@@ -213,38 +215,43 @@ def _sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(emit: Callable) -> Callable:
-    """A pass over (k, tag, text, wanted): emit(a, k, p, contents) of the wanted contexts of each text."""
+    """A pass over (k, tag, text, wanted): emit(a, k, tag, p, contents) of the wanted contexts of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
         for batch in batches:
-            a, k, p, contents = [], [], [], []
-            for key, text, wanted in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("k", "text", "wanted")), strict=True):
+            a, k, tags, p, contents = [], [], [], [], []
+            for key, tag, text, wanted in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("k", "tag", "text", "wanted")), strict=True):
+                if (key, tag) == before:  # a repeated row
+                    continue
+                before = key, tag
                 raw = text.encode()
                 for w in wanted:
-                    at = w["p"] >> 8 & 0xFFFFFFFF
+                    at = w["p"] >> 8
                     a.append(w["a"])
                     k.append(key)
+                    tags.append(tag)
                     p.append(w["p"])
                     contents.append(raw[at : at + (w["p"] & 0xFF) + LENGTH])
             if a:
-                yield from emit(np.array(a, np.int64), np.array(k, np.int64), np.array(p, np.int64), contents)
+                yield from emit(np.array(a, np.int64), np.array(k, np.int64), np.array(tags, np.int64), np.array(p, np.int64), contents)
 
     return run
 
 
-def _emit_contents(a: np.ndarray, k: np.ndarray, p: np.ndarray, contents: list[bytes]) -> Iterator[pa.RecordBatch]:
-    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(k), pa.array(p), pa.array(contents, pa.binary())], names=["a", "k", "p", "content"])
+def _emit_contents(a: np.ndarray, k: np.ndarray, tags: np.ndarray, p: np.ndarray, contents: list[bytes]) -> Iterator[pa.RecordBatch]:
+    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(k), pa.array(tags), pa.array(p), pa.array(contents, pa.binary())], names=["a", "k", "tag", "p", "content"])
 
 
-def _emit_windows(a: np.ndarray, k: np.ndarray, p: np.ndarray, contents: list[bytes]) -> Iterator[pa.RecordBatch]:
+def _emit_windows(a: np.ndarray, k: np.ndarray, tags: np.ndarray, p: np.ndarray, contents: list[bytes]) -> Iterator[pa.RecordBatch]:
     for i in range(0, len(a), 2048):
         w, kk, tag, start = [], [], [], []
-        for key, place, content in zip(k[i : i + 2048].tolist(), p[i : i + 2048].tolist(), contents[i : i + 2048], strict=True):
+        for key, of, place, content in zip(k[i : i + 2048].tolist(), tags[i : i + 2048].tolist(), p[i : i + 2048].tolist(), contents[i : i + 2048], strict=True):
             for offset in range((place & 0xFF) + 1):
                 w.append(hashlib.blake2b(content[offset : offset + LENGTH], digest_size=16).digest())
                 kk.append(key)
-                tag.append(place >> 40)
-                start.append((place >> 8 & 0xFFFFFFFF) + offset)
+                tag.append(of)
+                start.append((place >> 8) + offset)
         yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(kk, pa.int64()), pa.array(tag, pa.int64()), pa.array(start, pa.int64())], names=["w", "k", "tag", "start"])
 
 
@@ -257,7 +264,8 @@ def _hot(counted: DataFrame, keys: list[str]) -> DataFrame:
 def repeated_spans(rows: DataFrame) -> DataFrame:
     """k, tag and spans: per text the byte spans covered by LENGTH-byte strings that also start earlier.
 
-    rows has k (the order of documents), tag (tells rows of one k apart; 23 bits) and text.
+    rows has k (the order of documents), tag (tells texts of one k apart) and text. Rows
+    equal in k and tag are one document.
 
     1. Anchors that occur once in the corpus can't be in a repeated window. Counts by anchor, partial within each
        batch, tell them; what shares its anchor stays.
@@ -275,33 +283,33 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     counts = text.select("text").mapInArrow(_anchor_counts, "a long, n long").groupBy("a").agg(F.sum("n").alias("n"))
     shared = checkpointed(counts.filter("n > 1"))
     hot = _hot(shared, ["a"]).select(F.col("a").alias("hot_a"))
-    marked = text.mapInArrow(_context_rows, "a long, c long, k long, p long").join(hot, F.col("a") == F.col("hot_a"), "left").withColumn("hot", F.col("hot_a").isNotNull())
+    marked = text.mapInArrow(_context_rows, "a long, c long, k long, tag long, p long").join(hot, F.col("a") == F.col("hot_a"), "left").withColumn("hot", F.col("hot_a").isNotNull())
     # hot anchors' rows are kept as they are; each gets a key of its own, so that they don't meet in one task
-    dealt = marked.withColumn("by", F.when(F.col("hot"), F.xxhash64("k", "p")).otherwise(F.col("a"))).join(shared.select(F.col("a").alias("by"), F.lit(True).alias("twice")), "by", "left")
-    kept = dealt.filter("hot or twice").select("a", "c", "k", "p")
+    dealt = marked.withColumn("by", F.when(F.col("hot"), F.xxhash64("k", "tag", "p")).otherwise(F.col("a"))).join(shared.select(F.col("a").alias("by"), F.lit(True).alias("twice")), "by", "left")
+    kept = dealt.filter("hot or twice").select("a", "c", "k", "tag", "p")
     folder = shared_folder(spark, "contexts")
     kept.write.parquet(folder)
-    found = spark.read.schema("a long, c long, k long, p long").parquet(folder)
+    found = spark.read.schema("a long, c long, k long, tag long, p long").parquet(folder)
 
-    distinct = found.groupBy("a", "c").agg(F.min(F.struct("k", "p")).alias("first"), F.count(F.lit(1)).alias("n"))
+    distinct = found.groupBy("a", "c").agg(F.min(F.struct("k", "tag", "p")).alias("first"), F.count(F.lit(1)).alias("n"))
     folder = shared_folder(spark, "firsts")
     distinct.write.parquet(folder)
-    firsts = spark.read.schema("a long, c long, first struct<k: long, p: long>, n long").parquet(folder)
-    start = F.shiftright("p", 8).bitwiseAND(F.lit(0xFFFFFFFF))
+    firsts = spark.read.schema("a long, c long, first struct<k: long, tag: long, p: long>, n long").parquet(folder)
+    start = F.shiftright("p", 8)
     hot_first = _hot(firsts, ["a", "c"]).select(F.col("a").alias("hot_a"), F.col("c").alias("hot_c"), F.col("first").alias("hot_first"))
-    spread = found.join(hot_first, (F.col("a") == F.col("hot_a")) & (F.col("c") == F.col("hot_c")), "left").withColumn("by", F.when(F.col("hot_first").isNotNull(), F.xxhash64("k", "p")).otherwise(F.col("a")))
+    spread = found.join(hot_first, (F.col("a") == F.col("hot_a")) & (F.col("c") == F.col("hot_c")), "left").withColumn("by", F.when(F.col("hot_first").isNotNull(), F.xxhash64("k", "tag", "p")).otherwise(F.col("a")))
     matched = spread.join(firsts.filter("n > 1").select(F.col("a").alias("by"), "c", "first"), ["by", "c"], "left")
-    later = matched.filter(F.struct("k", "p") > F.coalesce("hot_first", "first")).select(
-        "k", F.shiftright("p", 40).alias("tag"), start.alias("start"), (start + F.col("p").bitwiseAND(F.lit(0xFF)) + LENGTH).alias("end")
+    later = matched.filter(F.struct("k", "tag", "p") > F.coalesce("hot_first", "first")).select(
+        "k", "tag", start.alias("start"), (start + F.col("p").bitwiseAND(F.lit(0xFF)) + LENGTH).alias("end")
     )
     several = firsts.groupBy("a").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    open_ones = firsts.select("a", "first.k", "first.p").join(several, "a")
+    open_ones = firsts.select("a", "first.k", "first.tag", "first.p").join(several, "a")
 
     def fetched(which: str, emit: Callable, schema: str) -> DataFrame:
-        wanted = open_ones.filter(which).groupBy("k", F.shiftright("p", 40).alias("tag")).agg(F.collect_list(F.struct("a", "p")).alias("wanted"))
+        wanted = open_ones.filter(which).groupBy("k", "tag").agg(F.collect_list(F.struct("a", "p")).alias("wanted"))
         return text.join(wanted, ["k", "tag"]).mapInArrow(_cut(emit), schema)
 
-    cut = fetched(f"m <= {TOGETHER}", _emit_contents, "a long, k long, p long, content binary")
+    cut = fetched(f"m <= {TOGETHER}", _emit_contents, "a long, k long, tag long, p long, content binary")
     sorted_ones = cut.repartition("a").sortWithinPartitions("a").mapInArrow(_sort_groups, "k long, tag long, start long, end long")
     windows = fetched(f"m > {TOGETHER}", _emit_windows, "w binary, k long, tag long, start long")
     earliest = windows.groupBy("w").agg(F.min(F.struct("k", "tag", "start")).alias("first"))
@@ -347,7 +355,7 @@ def _with_spans(docs: DataFrame, id_col: str, text_col: str, others: list[str])
     bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST))
-    tag = F.xxhash64(text).bitwiseAND(F.lit((1 << 23) - 1))
+    tag = F.xxhash64(text)
     rows = docs.select(key.alias("k"), tag.alias("tag"), text.alias("text"))
     wide = rows if not others else docs.select(key.alias("k"), tag.alias("tag"), text.alias("text"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("others"))
     return wide.join(repeated_spans(rows), ["k", "tag"], "left")

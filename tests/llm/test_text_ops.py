@@ -220,6 +220,25 @@ def test_repeats(docs, rows, empty, together, monkeypatch):
     assert suffix_dedup.digests(empty).count() == 0
 
 
+@pytest.mark.parametrize("together", [24_000, 1])
+def test_repeats_of_repeated_rows_and_null_ids(spark, together, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", together)
+    g = random.Random(5)
+    some = lambda n: "".join(g.choice("etaoinshr ") for _ in range(n))
+    removed = lambda rows: [(r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    shared = some(300)
+    one, two = (1, some(60) + "<" + shared + ">" + some(60)), (2, some(50) + "[" + shared[20:] + "]" + some(70))
+    assert sorted(removed([one, one, two, one])) == [(1, 422, 0)] * 3 + [(2, 402, 280)]
+    # null ids, one text of which agrees with another one in the last 23 bits of its hash
+    p, q = some(200), some(200)
+    hashed = spark.range(20_000).select(F.concat(F.when(F.col("id") % 2 == 0, p).otherwise(q), F.lit("#"), F.col("id")).alias("text"), (F.col("id") % 2).alias("kind"), F.xxhash64("text").bitwiseAND(F.lit((1 << 23) - 1)).alias("h"))
+    first = hashed.filter("kind = 0").orderBy("h").first().text
+    ps, qs = hashed.filter("kind = 0").select("h", F.col("text").alias("p")), hashed.filter("kind = 1").select("h", F.col("text").alias("q"))
+    clash = ps.join(qs, "h").filter(F.col("p") != first).orderBy("h").first()
+    got = removed([(None, first), (None, clash.p), (None, clash.q)])
+    assert sorted(r[2] for r in got) == [0, 0, 201] and (None, len(clash.q), 0) in got
+
+
 def test_repeats_cut_at_characters(spark):
     long = "".join(chr(0x100 + k) + "🙂" for k in range(120))
     df = spark.createDataFrame([(1, "a" + long, 9), (2, "b" + long + "tail", 9), (3, long, 9)], "doc_id long, text string, n_chars int")
