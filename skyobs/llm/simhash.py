@@ -21,6 +21,13 @@ POSITIONS, SHARED = 8, 8 - BITS
 #: Up to so many fingerprints of a list are compared with each other; more are compared with all masks of few bits.
 PAIRED = 2048
 CHUNK = 1 << 14
+#: Near copies: words in a shingle and least Jaccard similarity, as a fraction.
+NEAR_SHINGLE, SIMILAR = 5, (4, 5)
+#: Lists that a text stands in, minima that make a list, shingles that are hashed BANDS * BAND times at once.
+BANDS, BAND, MINED = 30, 6, 1 << 12
+_RANDOM = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 64, (2, BANDS * BAND), np.uint64)
+_ODD, _PLUS = _RANDOM[0] | np.uint64(1), _RANDOM[1]
+_FOLD, _PLACE = _RANDOM[1, :BAND] | np.uint64(1), _RANDOM[1, -BANDS:]
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -177,11 +184,86 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(named, marked["fp"] == named["node"]).select(id_col, "fp", "component_id")
 
 
+def minima(text: str | None) -> tuple[int, np.ndarray]:
+    """A hash of the text's words, and BANDS hashes of BAND minima each over its shingles of NEAR_SHINGLE words."""
+    words = (text or "").encode().lower().split()
+    hashes = np.fromiter(shingles(words), np.uint64)
+    least = np.full(BANDS * BAND, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(hashes), MINED):
+        np.minimum(least, (hashes[k : k + MINED, None] * _ODD + _PLUS).min(axis=0), out=least)
+    banded = (least.reshape(BANDS, BAND) * _FOLD).sum(axis=1, dtype=np.uint64) + _PLACE
+    banded = (banded ^ (banded >> np.uint64(31))) * _ODD[0]
+    return xxhash.xxh64_intdigest(b" ".join(words), SEED), banded.view(np.int64)
+
+
+def shingles(words: list[bytes]) -> set[int]:
+    """Hashes of the runs of NEAR_SHINGLE words; fewer words are one run, no words the empty run."""
+    return {xxhash.xxh64_intdigest(b" ".join(words[k : k + NEAR_SHINGLE]), SEED) for k in range(max(1, len(words) - NEAR_SHINGLE + 1))}
+
+
+def alike(a: str | None, b: str | None) -> bool:
+    """Whether the Jaccard similarity of two texts' shingles is SIMILAR at least."""
+    x, y = (shingles((t or "").encode().lower().split()) for t in (a, b))
+    return len(x & y) * SIMILAR[1] >= len(x | y) * SIMILAR[0]
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts(node, text) are alike."""
+    one, two = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text_a", "text_b"))
+            yield batch.select(["a", "b"]).filter(pa.array([alike(x, y) for x, y in zip(left, right, strict=True)], pa.bool_()))
+
+    return checkpointed(pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """_id, _text (a hash of the text) and root for every document: roots are equal in each group that pairs of similar texts connect.
+
+    Similar: Jaccard similarity of word shingles of SIMILAR at least, verified on the texts. Candidates share
+    one of BANDS hashes of BAND minima, by which a pair at that similarity is missed once in 9,000 times.
+    Texts of equal words are one node. Each member of a band's list is first compared with the list's least
+    node alone; then pairs that are still in different groups are compared, all of them. So lists of one
+    group, however long, take time in proportion to their length, and there is no cap.
+    """
+    bounded_batches(docs.sparkSession)
+    slim = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_text"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, bands = zip(*map(minima, batch.column(2).to_pylist()), strict=True) if batch.num_rows else ((), ())
+            node = pa.array(np.array(nodes, np.uint64).view(np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), node, pa.array(list(bands), pa.list_(pa.int64()))], names=["_id", "_text", "node", "bands"])
+
+    marked = checkpointed(slim.mapInArrow(run, f"_id {slim.schema['_id'].dataType.simpleString()}, _text long, node long, bands array<long>"))
+    listed = marked.select("node", F.explode("bands").alias("band")).distinct()
+    lists = listed.groupBy("band").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "least")
+    members = checkpointed(listed.join(lists, "band"))
+    wanted = marked.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("_text").alias("_text"))
+    once = slim.groupBy("_text").agg(F.first("text").alias("text"))
+    texts = checkpointed(once.join(wanted, "_text").select("node", "text"))
+    first = _verified(members.filter("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), texts)
+    rooted = members.select("node", "band").join(components(first), "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    open_ones = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("band")
+    left = checkpointed(rooted.join(open_ones, "band"))
+    pairs = left.select("band", F.col("node").alias("a"), F.col("root").alias("root_a")).join(left.select("band", F.col("node").alias("b"), F.col("root").alias("root_b")), "band")
+    second = _verified(pairs.filter("a < b and root_a != root_b").select("a", "b").distinct(), texts)
+    found = components(first.unionByName(second))
+    return marked.select("_id", "_text", "node").join(found, "node", "left").select("_id", "_text", F.coalesce("root", "node").alias("root"))
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all their columns, whose id is the smallest of its group; groups without any id stay.
+    """One row of docs, all its columns, of each of `similar_groups`: that of the smallest id.
 
-    Rows of one id stay or go together.
+    Null ids come last. Of rows of one id, that of the least hash of its text stays, and of rows that are
+    equal in both, that of the least hash of the other columns.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    kept = checkpointed(found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct())
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    found = similar_groups(docs, id_col, text_col)
+    least = found.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_text")).alias("least"))
+    kept = checkpointed(least.select(F.col("least._id").alias("_id"), F.col("least._text").alias("_text")))
+    others = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.name != text_col and "map<" not in f.dataType.simpleString()]
+    row = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.xxhash64(*others).alias("_rest"))
+    once = row.groupBy("_id", "_text").agg(F.min_by("_row", "_rest").alias("_row")).withColumnRenamed("_id", "_own")
+    return once.join(kept.withColumnRenamed("_text", "_kept"), (F.col("_text") == F.col("_kept")) & F.col("_own").eqNullSafe(F.col("_id")), "left_semi").select("_row.*")

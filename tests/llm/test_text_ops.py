@@ -395,3 +395,31 @@ def test_quality(spark):
     assert kept.columns == docs.columns and kept.count() == 201
     assert kneser_ney.classified(docs.limit(0), labels).count() == 0
     assert kneser_ney.classified(docs, labels.limit(0)).filter("kept").count() == len(rows) - 1
+
+
+def jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").lower().split() for t in (a, b)))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_by_similarity(spark):
+    g = random.Random(3)
+    words = ["".join(g.choice("etaoinshr") for _ in range(5)) for _ in range(400)]
+    rows = []
+    for k in range(60):
+        base = [g.choice(words) for _ in range(g.randint(60, 200))]
+        rows.append((3 * k, " ".join(base)))
+        for m in (1, 2):
+            near = list(base)
+            for _ in range(g.randint(1, 4)):
+                near[g.randrange(len(near))] = "changed" + g.choice(words)
+            rows.append((3 * k + m, " ".join(near)))
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if jaccard(rows[i][1], rows[j][1]) >= 0.8:
+                root = [root[j] if r == root[i] else r for r in root]
+    least = {r: min(rows[i][0] for i in range(len(rows)) if root[i] == r) for r in root}
+    assert 60 < len(least) < 150
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(least.values())
