@@ -234,7 +234,14 @@ def classified(
     no thresholds, and all other documents are kept. Repeated ids, labels and rows: a document is trusted if
     any of its labels is, and all rows are returned. Columns of other names are ignored; empty tables work.
     """
-    slim = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.coalesce(F.octet_length(text_col), F.lit(0)).alias("n_bytes"), F.col(text_col).alias("text"))
+    found = _judged(docs, labels, order, quantile, allowance, broadcast_rows, id_col, text_col, lang_col)
+    return found.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), "n_bytes", "trusted", "perplexity", "threshold", "kept")
+
+
+def _judged(docs: DataFrame, labels: DataFrame, order: int, quantile: float, allowance: float, broadcast_rows: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """id, lang, n_bytes, hash (of the text), trusted, perplexity, threshold and kept for every document."""
+    hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    slim = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.coalesce(F.octet_length(text_col), F.lit(0)).alias("n_bytes"), hashed.alias("hash"), F.col(text_col).alias("text"))
     good = labels.filter((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select(F.col("doc_id").alias("good")).distinct()
     # labels grow with the corpus: they are never broadcast, however few they are here
     training = slim.select("id", "text").join(good.hint("merge"), F.col("id") == F.col("good"), "left_semi").select("text")
@@ -248,12 +255,12 @@ def classified(
     joined = marked.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left").crossJoin(F.broadcast(of_all))
     threshold = F.coalesce("own", "of_all") * F.exp(F.lit(ERRORS) / F.sqrt(F.greatest(F.col("n_bytes"), F.lit(1))))
     kept = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= threshold, F.lit(True))
-    return joined.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), "n_bytes", "trusted", "perplexity", threshold.alias("threshold"), kept.alias("kept"))
+    return joined.select("id", "lang", "n_bytes", "hash", "trusted", "perplexity", threshold.alias("threshold"), kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, order: int = ORDER, broadcast_rows: int = BROADCAST_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs, all their columns, that `classified` keeps. Rows of one id, language and length share the decision for the best of them."""
-    found = classified(docs, labels, order, broadcast_rows=broadcast_rows, id_col=id_col, text_col=text_col, lang_col=lang_col)
-    good = checkpointed(found.filter("kept").select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col("n_bytes").alias("_size")).distinct())
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(lang_col).eqNullSafe(F.col("_lang")) & (F.coalesce(F.octet_length(text_col), F.lit(0)) == F.col("_size"))
+    """The rows of docs, all their columns, that `classified` keeps. Each row is judged by its own text and language."""
+    found = _judged(docs, labels, order, QUANTILE, ALLOWANCE, broadcast_rows, id_col, text_col, lang_col)
+    good = checkpointed(found.filter("kept").select(F.col("id").alias("_id"), F.col("lang").alias("_lang"), F.col("hash").alias("_hash")).distinct())
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(lang_col).eqNullSafe(F.col("_lang")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_hash"))
     return docs.join(good, same, "left_semi")

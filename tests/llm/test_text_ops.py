@@ -423,3 +423,21 @@ def test_near_copies_by_similarity(spark):
     assert 60 < len(least) < 150
     kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == sorted(least.values())
+
+
+def test_one_row_of_each_group(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(None, a, 1), (None, a, 2), (None, b, 3), (7, b, 4), (7, b, 5), (8, c, 6), (8, c, 6), (9, None, 7), (None, "", 8)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()
+    assert sorted((r.text or "", r.doc_id) for r in kept) == [("", 9), (a, None), (b, 7), (c, 8)]
+
+
+def test_quality_of_each_row(spark):
+    g = random.Random(8)
+    words = ["".join(g.choice("etaoinshr") for _ in range(5)) for _ in range(50)]
+    rows = [(k, " ".join(g.choice(words) for _ in range(50)), "en") for k in range(60)]
+    good = " ".join(g.choice(words) for _ in range(50))
+    rows += [(None, good, "en"), (None, "@%" * (len(good) // 2) + "@" * (len(good) % 2), "en")]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    kept = kneser_ney.keep_good(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels)
+    assert [r.text for r in kept.filter("doc_id is null").collect()] == [good]
