@@ -14,10 +14,11 @@ from skyobs.llm.runtime import bounded_batches, checkpointed
 
 #: Bytes in an n-gram of the highest order; a gram is packed into a bigint, so 7 is the most.
 ORDER = 4
-#: Share of trusted documents of a language under the threshold, the factor on that quantile that allows
-#: for documents that the model wasn't trained on, and the standard errors, at one nat a byte, by which the
-#: log perplexity of a text may exceed it: short texts vary more.
-QUANTILE, ALLOWANCE, ERRORS = 0.99, 1.25, 2.0
+#: Share of trusted documents of a language under the threshold, and the standard errors, at one nat a byte,
+#: by which the log perplexity of a text may exceed it: short texts vary more.
+QUANTILE, ERRORS = 0.99, 2.0
+#: Parts of the trusted documents; each is scored for the quantile by a model of the others.
+FOLDS = 2
 #: Trusted documents that a language needs for a threshold of its own; others take that of all languages.
 ENOUGH = 30
 #: Model rows (20 bytes each) up to which every task gets the whole model; a larger one is joined in shards.
@@ -221,46 +222,52 @@ def _perplexity_by_blocks(docs: DataFrame, model: DataFrame, order: int, others:
 
 
 def classified(
-    docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, allowance: float = ALLOWANCE, broadcast_rows: int = BROADCAST_ROWS,
+    docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, broadcast_rows: int = BROADCAST_ROWS,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> DataFrame:
     """doc_id, lang, n_bytes, trusted, perplexity, threshold and kept for every document.
 
     Trusted are documents with a label of quality 1 that is not toxic; all their text trains the model. A
-    language's threshold is a quantile of its trusted documents' perplexities, times an allowance that is
-    wider for short texts; a language
-    with few of them (null is one, too) takes that of all. A document is kept if its perplexity is at most
+    language's threshold is a quantile of its trusted documents' perplexities, each under a model of the FOLDS
+    that it isn't in (equal texts are in one), and wider for short texts. A language with few of them (null is one, too) takes that of all. A document is kept if its perplexity is at most
     the threshold. An empty or null text has no perplexity and isn't kept. Without trusted text there are
     no thresholds, and all other documents are kept. Repeated ids, labels and rows: a document is trusted if
     any of its labels is, and all rows are returned. Columns of other names are ignored; empty tables work.
     """
-    found = _judged(docs, labels, order, quantile, allowance, broadcast_rows, id_col, text_col, lang_col)
+    found = _judged(docs, labels, order, quantile, broadcast_rows, id_col, text_col, lang_col)
     return found.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), "n_bytes", "trusted", "perplexity", "threshold", "kept")
 
 
-def _judged(docs: DataFrame, labels: DataFrame, order: int, quantile: float, allowance: float, broadcast_rows: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+def _judged(docs: DataFrame, labels: DataFrame, order: int, quantile: float, broadcast_rows: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """id, lang, n_bytes, hash (of the text), trusted, perplexity, threshold and kept for every document."""
     hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     slim = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.coalesce(F.octet_length(text_col), F.lit(0)).alias("n_bytes"), hashed.alias("hash"), F.col(text_col).alias("text"))
     good = labels.filter((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select(F.col("doc_id").alias("good")).distinct()
     # labels grow with the corpus: they are never broadcast, however few they are here
-    training = slim.select("id", "text").join(good.hint("merge"), F.col("id") == F.col("good"), "left_semi").select("text")
+    fold = F.pmod(F.xxhash64("hash"), F.lit(FOLDS)).cast("int")
+    training = checkpointed(slim.join(good.hint("merge"), F.col("id") == F.col("good"), "left_semi").select("lang", "n_bytes", fold.alias("fold"), "text"))
     model = model_of(gram_counts(training, order), order)
+    wider = F.exp(F.lit(ERRORS) / F.sqrt(F.greatest(F.col("n_bytes"), F.lit(1))))
+    own = None
+    for k in range(FOLDS):
+        others = model_of(gram_counts(training.filter(F.col("fold") != k), order), order)
+        part = perplexity(training.filter(F.col("fold") == k).drop("fold"), others, order, broadcast_rows)
+        own = part if own is None else own.unionByName(part)
+    own = checkpointed(own.filter("perplexity is not null").select("lang", "perplexity"))
     scored = checkpointed(perplexity(slim, model, order, broadcast_rows))
     marked = checkpointed(scored.join(good, F.col("id") == F.col("good"), "left").withColumn("trusted", F.col("good").isNotNull()).drop("good"))
-    own = marked.filter("trusted and perplexity is not null")
-    at = F.percentile_approx("perplexity", quantile, 10_000) * allowance
+    at = F.percentile_approx("perplexity", quantile, 10_000)
     by_lang = own.groupBy(F.col("lang").alias("_lang")).agg(F.when(F.count(F.lit(1)) >= ENOUGH, at).alias("own"))
     of_all = own.agg(at.alias("of_all"))
     joined = marked.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left").crossJoin(F.broadcast(of_all))
-    threshold = F.coalesce("own", "of_all") * F.exp(F.lit(ERRORS) / F.sqrt(F.greatest(F.col("n_bytes"), F.lit(1))))
+    threshold = F.coalesce("own", "of_all") * wider
     kept = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= threshold, F.lit(True))
     return joined.select("id", "lang", "n_bytes", "hash", "trusted", "perplexity", threshold.alias("threshold"), kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, order: int = ORDER, broadcast_rows: int = BROADCAST_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs, all their columns, that `classified` keeps. Each row is judged by its own text and language."""
-    found = _judged(docs, labels, order, QUANTILE, ALLOWANCE, broadcast_rows, id_col, text_col, lang_col)
+    found = _judged(docs, labels, order, QUANTILE, broadcast_rows, id_col, text_col, lang_col)
     good = checkpointed(found.filter("kept").select(F.col("id").alias("_id"), F.col("lang").alias("_lang"), F.col("hash").alias("_hash")).distinct())
     same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(lang_col).eqNullSafe(F.col("_lang")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_hash"))
     return docs.join(good, same, "left_semi")

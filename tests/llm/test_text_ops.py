@@ -441,3 +441,16 @@ def test_quality_of_each_row(spark):
     labels = spark.createDataFrame([(k, 1, 0) for k in range(60)], "doc_id long, quality int, toxic int")
     kept = kneser_ney.keep_good(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels)
     assert [r.text for r in kept.filter("doc_id is null").collect()] == [good]
+
+
+def test_threshold_is_the_held_out_quantile(spark):
+    g = random.Random(4)
+    words = ["".join(g.choice("etaoinshrdlu") for _ in range(g.randint(3, 9))) for _ in range(300)]
+    docs = spark.createDataFrame([(k, " ".join(g.choice(words) for _ in range(60)), "en") for k in range(40)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    fold, held = F.pmod(F.xxhash64(F.xxhash64("text")), F.lit(2)), []
+    for k in (0, 1):
+        model = kneser_ney.model_of(kneser_ney.gram_counts(docs.filter(fold != k)))
+        held += [r.perplexity for r in kneser_ney.perplexity(docs.filter(fold == k).select("doc_id", "text"), model).collect()]
+    for r in kneser_ney.classified(docs, labels).collect():
+        assert r.threshold == pytest.approx(sorted(held)[39] * np.exp(2 / np.sqrt(r.n_bytes)), rel=1e-6)
