@@ -207,7 +207,7 @@ def feasibility_binomial(spark: SparkSession, d: str) -> DataFrame:
 
 @query("feasibility_gaps")
 def feasibility_gaps(spark: SparkSession, d: str) -> DataFrame:
-    return av.feasibility(_plans(spark, d), max_gap=60, window_days=365, n_sim=500)
+    return av.feasibility(_plans(spark, d), max_gap=60, window_days=365)
 
 
 @query("seasonality_window")

@@ -67,18 +67,17 @@ def sim_series(spark: SparkSession, d: str) -> DataFrame:
 
 @query("sim_scene")
 def sim_scene(spark: SparkSession, d: str) -> DataFrame:
-    return simulate.benchmark(spark, n=4)
+    return simulate.benchmark(spark)
 
 
 @query("pheno_power")
 def pheno_power(spark: SparkSession, d: str) -> DataFrame:
-    o = dt.obs(spark, d).filter(F.col("date").between("1997-01-01", "1997-12-31"))
-    return phenology.power(phenology.replicates(o, n_sim=4))
+    return phenology.power(phenology.replicates(dt.obs(spark, d)))
 
 
 @query("pheno_map")
 def pheno_map(spark: SparkSession, d: str) -> DataFrame:
-    return phenology.power_map(dt.obs(spark, d), n_sim=3)[0]
+    return phenology.power_map(dt.obs(spark, d), n_sim=50)[0]
 
 
 @query("pheno_fit")
