@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyobs.llm.runtime import partitions
+from skyobs.llm.runtime import in_buckets, partitions, salted
 
 #: Words in a shingle, bins (a power of two), low-order bits kept of each bin's minimum.
 SHINGLE, BIN_BITS, KEPT_BITS = 5, 7, 8
@@ -95,24 +95,23 @@ def as_hex(name: str) -> Column:
 
 
 def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text, key, bucket and last (whether the row only stands after its bucket's end).
+    """id, text, key, tie, bucket and last (whether the row only stands after its bucket's end).
 
-    Buckets are ranges of ids of about equal counts, bounded by approximate quantiles: as many as shuffle
-    partitions. The first document of each bucket also goes to the bucket before, and the very first to
-    the last one, so that a window within a bucket sees every document's follower.
+    Buckets are ranges of (key, tie) of about equal counts, as many as shuffle partitions: key is the id, tie a hash of
+    the text that also tells equal rows apart, so an id that many rows share takes several buckets. The first
+    row of each bucket also goes to the bucket before, and the very first to the last one, so that a window
+    within a bucket sees every document's follower.
     """
-    slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST)).alias("key"))
-    n = partitions(docs.sparkSession)
-    bounds = slim.agg(F.percentile_approx("key", [k / n for k in range(1, n)] or [0.5], 10_000)).first()[0] or []
-    bounds = sorted(set(bounds))
-    bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>"), lambda b: b <= F.col("key")))
-    placed = slim.withColumn("own", bucket)
-    firsts = sorted((r["own"], r["k"]) for r in placed.groupBy("own").agg(F.min("key").alias("k")).collect())  # a row for each bucket
-    ahead = {k: firsts[i - 1][0] for i, (_, k) in enumerate(firsts)}  # the first's is the last: firsts[-1]
-    before = F.create_map(*[F.lit(x) for k, b in ahead.items() for x in (k, b)])[F.col("key")] if ahead else F.lit(None).cast("int")
-    return placed.withColumn("also", F.array_compact(F.array(F.struct(F.col("own").alias("bucket"), F.lit(False).alias("last")), F.when(before.isNotNull(), F.struct(before.alias("bucket"), F.lit(True).alias("last")))))).select(
-        "id", "text", "key", F.inline("also")
-    )
+    spark = docs.sparkSession
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    slim = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST)).alias("key"), salted(F.xxhash64(text)).alias("tie"))
+    placed = in_buckets(slim, "key", "tie", partitions(spark))
+    # a row for each bucket
+    firsts = sorted((r["bucket"], *r["least"]) for r in placed.groupBy("bucket").agg(F.min(F.struct("key", "tie")).alias("least")).collect())
+    ahead = spark.createDataFrame([(k, t, firsts[i - 1][0]) for i, (_, k, t) in enumerate(firsts)], "_key long, _tie long, _before int")  # the first's is the last: firsts[-1]
+    met = placed.join(F.broadcast(ahead), (F.col("key") == F.col("_key")) & (F.col("tie") == F.col("_tie")), "left")
+    both = F.array(F.struct("bucket", F.lit(False).alias("last")), F.when(F.col("_before").isNotNull(), F.struct(F.col("_before").alias("bucket"), F.lit(True).alias("last"))))
+    return met.select("id", "text", "key", "tie", F.inline(F.array_compact(both)))
 
 
 def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,18 +119,19 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The edited text: the last quarter of the code points (rounded down) replaced by as many from the start
     of the next document by ascending id, or all it has; after the last comes the first. Returns id_col,
-    n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. A null text counts as
-    empty. Null ids come first; equal ids follow each other in the order of their texts; all rows are kept.
-    A single document is its own follower. Columns of other names are ignored; an empty table gives an empty one.
-    Texts are shuffled once, by bucket; everything after stays in the bucket's task.
+    n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Ids are whole numbers.
+    A null text counts as empty. Null ids come first; equal ids follow each other in the order of a hash of
+    their texts, equal rows in any; all rows are kept. A single document is its own follower. Columns of other
+    names are ignored; an empty table gives an empty one.
+    Texts are shuffled once, a bucket to a task; everything after stays there.
     """
-    spec = Window.partitionBy("bucket").orderBy("last", "key", "text")
-    dealt = in_order(docs, id_col, text_col).repartition(partitions(docs.sparkSession), "bucket")
-    followed = dealt.withColumn("following", F.lead("text").over(spec))
-    n = F.length("text")
-    quarter = F.floor(n / 4).cast("int")
-    edited = followed.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - quarter), F.substring(F.coalesce("following", F.lit("")), F.lit(1), quarter)))
-    kept = edited.select("id", "key", "bucket", "last", "text", "edited", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    n = partitions(docs.sparkSession)
+    spec = Window.partitionBy("bucket").orderBy("last", "key", "tie")
+    followed = in_order(docs, id_col, text_col).repartitionById(n, "bucket").withColumn("following", F.lead("text").over(spec))
+    n_chars = F.length("text")
+    quarter = F.floor(n_chars / 4).cast("int")
+    edited = followed.withColumn("edited", F.concat(F.substring("text", F.lit(1), n_chars - quarter), F.substring(F.coalesce("following", F.lit("")), F.lit(1), quarter)))
+    kept = edited.select("id", "key", "tie", "bucket", "last", "text", "edited", n_chars.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
     marked = with_fingerprint(with_fingerprint(kept, "text", "fp"), "edited", "fp_edited").withColumn("fp_next", F.lead("fp").over(spec))
     return marked.filter(~F.col("last")).select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256", as_hex("fp").alias("fingerprint"), as_hex("fp_edited").alias("edited_fingerprint"),

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyobs.llm.runtime import bounded_batches, checkpointed
+from skyobs.llm.runtime import in_batches, checkpointed
 
 #: Bytes in an n-gram of the highest order; a gram is packed into a bigint, so 7 is the most.
 ORDER = 4
@@ -51,7 +51,6 @@ def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
 
     Each batch sends its distinct n-grams; sums by gram are partial before the shuffle and in shards after it.
     """
-    bounded_batches(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,7 +58,7 @@ def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
             found, counts = np.unique(grams, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(counts.astype(np.int64))], names=["gram", "n"])
 
-    return texts.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return in_batches(texts.select("text"), run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _mod(gram: Column, order: int) -> Column:
@@ -178,7 +177,6 @@ def perplexity(docs: DataFrame, model: DataFrame, order: int = ORDER, broadcast_
 
     The model's rows are counted: up to broadcast_rows of them go to every task; beyond, see _perplexity_by_blocks.
     """
-    bounded_batches(docs.sparkSession)
     others = [c for c in docs.columns if c != "text"]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others) + ", perplexity double"
     if model.count() > broadcast_rows:
@@ -191,7 +189,7 @@ def perplexity(docs: DataFrame, model: DataFrame, order: int = ORDER, broadcast_
             found = scorer.perplexities([(t or "").encode() for t in batch.column(len(others)).to_pylist()])
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(others))), pa.array(found, pa.float64())], names=[*others, "perplexity"])
 
-    return docs.select(*others, "text").mapInArrow(run, schema)
+    return in_batches(docs.select(*others, "text"), run, schema)
 
 
 def _perplexity_by_blocks(docs: DataFrame, model: DataFrame, order: int, others: list[str], schema: str) -> DataFrame:

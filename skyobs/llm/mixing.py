@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyobs.llm.runtime import checkpointed
+from skyobs.llm.runtime import checkpointed, named, salted, spread_join
+from skyobs.llm.sharding import in_ranges, with_prefix_sums
 
 #: Words are runs of other characters than these: space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -13,19 +14,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 #: Share of all words that the mix takes, and the most that a source can give of its own.
 BUDGET, MOST = 1.5, 2.0
-#: Each of LEVELS histograms splits a bucket by so many further bits of the hash.
-DIGIT_BITS, LEVELS = 10, 4
-#: A source's rows are dealt to so many parts where they meet the plan, so that a hot one has no task of its own.
-PARTS = 64
-
-
-def _part(h):
-    return F.pmod(h, F.lit(PARTS))
-
-
-def _each_part(plan: DataFrame) -> DataFrame:
-    """plan once for each part: a row a source times PARTS."""
-    return plan.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+#: Each of LEVELS histograms splits a bucket by so many further bits of the 63-bit hash.
+DIGIT_BITS, LEVELS = 12, 5
 
 
 def word_count(text):
@@ -39,59 +29,45 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, mo
     cap, and prefix sums tell how many are capped; the others share the rest by weight. That is where
     handing on the excess by weight ends. Sources rank by code point, null last.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    weighed = sizes.withColumn("_rank", F.row_number().over(by_name) - 1).withColumn(
-        "weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_rank") % len(weights) + 1).cast("int"))
-    )
-    all_rows = Window.partitionBy().orderBy("_full_at", "_rank")
-    ahead = all_rows.rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        weighed.withColumn("_cap", F.col("source_size") * F.lit(most))
-        .withColumn("_full_at", F.col("_cap") / F.col("weight"))
-        .withColumn("_budget", F.sum("source_size").over(Window.partitionBy()) * F.lit(min(budget, most)))
-        .withColumn("_cap_ahead", F.coalesce(F.sum("_cap").over(ahead), F.lit(0.0)))
-        .withColumn("_weight_left", F.sum("weight").over(all_rows.rowsBetween(0, Window.unboundedFollowing)))
-        # the level if exactly the sources ahead are capped; the first that doesn't pass its source's own cap is right
-        .withColumn("_level", (F.col("_budget") - F.col("_cap_ahead")) / F.col("_weight_left"))
-        .withColumn("_level", F.min_by("_level", F.when(F.col("_level") <= F.col("_full_at"), F.struct("_full_at", "_rank"))).over(Window.partitionBy()))
-        .withColumn("target", F.least(F.col("_cap"), F.coalesce(F.col("_level") * F.col("weight"), F.col("_cap"))))
-        .select("source", "source_size", "weight", "target")
-    )
+    named_ones = with_prefix_sums(in_ranges(checkpointed(sizes.withColumn("_none", F.col("source").isNull())), ["_none", "source"]), ["_none", "source"], [])
+    weighed = named_ones.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int")))
+    capped = weighed.withColumn("cap", F.col("source_size") * F.lit(most)).withColumn("full_at", F.col("cap") / F.col("weight")).withColumnRenamed("rank", "by_name")
+    summed = with_prefix_sums(in_ranges(capped.drop("bucket"), ["full_at", "by_name"]), ["full_at", "by_name"], ["cap", "weight"])
+    whole = summed.agg((F.sum("source_size") * F.lit(min(budget, most))).alias("all_words"), F.sum("weight").alias("all_weight"))
+    # the level if exactly the sources ahead are capped; the first that doesn't pass its source's own cap is right
+    levelled = summed.crossJoin(F.broadcast(whole)).withColumn("level", (F.col("all_words") - F.col("before_cap")) / (F.col("all_weight") - F.col("before_weight")))
+    right = levelled.filter("level <= full_at").agg(F.min_by("level", F.struct("full_at", "by_name")).alias("right_level"))
+    target = F.least(F.col("cap"), F.coalesce(F.col("right_level") * F.col("weight"), F.col("cap")))
+    return levelled.crossJoin(F.broadcast(right)).select("source", "source_size", *[c for c in sizes.columns if c not in ("source", "source_size")], "weight", target.alias("target"))
 
 
 def hash_thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
-    """For each source the exclusive hash bound under which its rows' sizes come next to its budget.
+    """For each source the exclusive hash bound under which its rows' sizes come next to its budget: key and bound.
 
-    rows: source, size, h (63-bit, from 0); budgets: source, rest (below the source's size). A histogram
-    of sizes by source and leading digit finds the bucket where the running sum passes the budget; only
-    that bucket's rows go into the next, finer histogram, and so on LEVELS times. No rows are sorted,
-    only bucket totals, BUCKETS a source at most. The last bucket is taken if that comes nearer.
+    rows: key (of the source), size, h (63-bit, from 0); budgets: key, n (rows of it), rest (below the source's
+    size). A histogram of sizes by source and leading digit finds the bucket where the running sum passes the
+    budget; only that bucket's rows go into the next, finer histogram, and so on LEVELS times. No rows are
+    sorted, only bucket totals, 2 ** DIGIT_BITS a source at most. The last bucket is taken if that comes nearer.
     A source without any words has no bound.
     """
-    found = budgets.select("source", F.col("rest").cast("double").alias("rest"), F.lit(0).cast("long").alias("prefix"))
+    found = budgets.select("key", "n", F.col("rest").cast("double").alias("rest"), F.lit(0).cast("long").alias("prefix"))
     for level in range(LEVELS):
         shift = 63 - DIGIT_BITS * (level + 1)
-        inside = (
-            rows.alias("r")
-            .join(
-                _each_part(found).alias("f"),
-                F.col("r.source").eqNullSafe(F.col("f.source")) & (_part(F.col("r.h")) == F.col("f.part")) & (F.shiftright(F.col("r.h"), shift + DIGIT_BITS) == F.col("f.prefix")),
-            )
-            .groupBy(F.col("f.source").alias("source"), F.col("f.prefix").alias("prefix"), F.col("f.rest").alias("rest"), F.shiftright(F.col("r.h"), shift).alias("bucket"))
-            .agg(F.sum("r.size").cast("double").alias("size"))
-        )
-        summed = inside.withColumn("up_to", F.sum("size").over(Window.partitionBy("source").orderBy("bucket")))
+        inside = spread_join(rows, found, "key", "n", ["h"]).filter(F.shiftright("h", shift + DIGIT_BITS) == F.col("prefix"))
+        totals = inside.groupBy("key", "rest", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").cast("double").alias("size"))
+        summed = totals.withColumn("up_to", F.sum("size").over(Window.partitionBy("key").orderBy("bucket")))
         passed = F.col("up_to") > F.col("rest")
-        step = summed.groupBy("source", "rest").agg(
+        step = summed.groupBy("key", "rest").agg(
             F.min(F.when(passed, F.col("bucket"))).alias("edge"),
             F.min(F.when(passed, F.col("up_to"))).alias("above"),
             F.coalesce(F.max(F.when(~passed, F.col("up_to"))), F.lit(0.0)).alias("below"),
         ).filter(F.col("edge").isNotNull())
         if level < LEVELS - 1:
-            found = step.select("source", (F.col("rest") - F.col("below")).alias("rest"), F.col("edge").alias("prefix"))
+            step = step.join(found.select(F.col("key").alias("_key"), "n"), F.col("key") == F.col("_key"))
+            found = step.select("key", "n", (F.col("rest") - F.col("below")).alias("rest"), F.col("edge").alias("prefix"))
         else:
             nearer = F.when(F.col("above") - F.col("rest") < F.col("rest") - F.col("below"), 1).otherwise(0)
-            found = step.select("source", F.shiftleft(F.col("edge") + nearer, shift).alias("bound"))
+            found = step.select("key", F.shiftleft(F.col("edge") + nearer, shift).alias("bound"))
         found = checkpointed(found)
     return found
 
@@ -103,42 +79,51 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: float =
     source), copies (times that the document is taken, 0 to 2) and taken (= copies * size). Each source
     is taken whole as often as its target holds it; the rest of the target falls to the documents whose
     hash is under the source's bound, so that the source's words differ from its target by half of one
-    document at most. The hash is of id and size alone: reruns and other partitionings agree. A null
-    source is a source; rows with a null id and equal size are taken together; repeated rows too. An empty
-    table gives an empty one. Columns of other names are ignored.
+    document at most. The hash is of id, text and source: reruns and other partitionings agree. Rows equal in
+    those, null ids included, are told apart by their place in the input, which decides only which of them are
+    taken. A null source is a source. An empty table gives an empty one. Columns of other names are ignored.
     """
-    rows = checkpointed(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")).withColumn("h", _draw(seed, "id", "size")))
+    rows = _drawn(docs, seed, id_col, text_col, source_col)
     copies = (F.col("whole") + (F.col("h") < F.col("bound")).cast("int")).cast("int")
-    plan = _each_part(_plan(rows, weights, budget, most))
-    return rows.join(plan, F.col("source").eqNullSafe(F.col("name")) & (_part(F.col("h")) == F.col("part"))).select(
+    return spread_join(rows, _plan(rows, weights, budget, most), "key", "n", ["h"]).select(
         F.col("id").alias(id_col), "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )
 
 
-def _draw(seed: int, *columns):
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 1)
+def _draw(seed: int, id_col: str, text_col: str, source_col: str):
+    return salted(F.xxhash64(F.lit(seed), named(id_col), F.xxhash64(named(text_col)), named(source_col)))
+
+
+def _key(source):
+    """A source's name, never null."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("null"))
+
+
+def _drawn(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    source = named(source_col)
+    return checkpointed(docs.select(named(id_col).alias("id"), source.alias("source"), _key(source).alias("key"), word_count(named(text_col)).alias("size"), _draw(seed, id_col, text_col, source_col).alias("h")))
 
 
 def _plan(rows: DataFrame, weights, budget: float, most: float) -> DataFrame:
-    """name, source_size, target, whole and bound: a row for each source of rows(source, size, h)."""
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    """key, n, source_size, target, whole and bound: a row for each source of rows(source, key, size, h)."""
+    sizes = rows.groupBy("source", "key").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     targets = checkpointed(
         source_targets(sizes, weights, budget, most)
         .withColumn("whole", F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size").cast("double")) + F.lit(1e-12)), F.lit(0)))
         .withColumn("rest", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
     )
-    bounds = hash_thresholds(rows, targets.filter("rest > 0"))
-    return targets.alias("t").join(bounds.alias("b"), F.col("t.source").eqNullSafe(F.col("b.source")), "left").select(
-        F.col("t.source").alias("name"), "source_size", "target", "whole", F.coalesce("bound", F.lit(0)).alias("bound")
-    )
+    bounds = hash_thresholds(rows.select("key", "size", "h"), targets.filter("rest > 0")).withColumnRenamed("key", "_key")
+    return targets.join(bounds, F.col("key") == F.col("_key"), "left").select("key", "n", "source_size", "target", "whole", F.coalesce("bound", F.lit(0)).alias("bound"))
 
 
 def mixed_rows(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs, all their columns, each row as often as `mix` takes it. Texts don't move but to the few rows of the plan."""
-    size = word_count(F.col(text_col))
-    rows = checkpointed(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")).withColumn("h", _draw(seed, "id", "size")))
-    plan = checkpointed(_plan(rows, weights, budget, most).select("name", "whole", "bound"))
-    marked = docs.select(F.struct(*docs.columns).alias("row"), F.col(source_col).alias("source"), _draw(seed, F.col(id_col), size).alias("h"))
+    """docs, all their columns, whatever their names, each row as often as `mix` takes it.
+
+    Texts don't move where the plan is small: it is broadcast up to a checked number of sources.
+    """
+    rows = _drawn(docs, seed, id_col, text_col, source_col)
+    plan = checkpointed(_plan(rows, weights, budget, most).select("key", "n", "whole", "bound"))
+    marked = docs.select(F.struct(*[named(c) for c in docs.columns]).alias("row"), _key(named(source_col)).alias("key"), _draw(seed, id_col, text_col, source_col).alias("h"))
     copies = (F.col("whole") + (F.col("h") < F.col("bound")).cast("int")).cast("int")
-    taken = marked.join(_each_part(plan), F.col("source").eqNullSafe(F.col("name")) & (_part(F.col("h")) == F.col("part"))).filter(copies > 0)
-    return taken.select("row", F.explode(F.sequence(F.lit(1), copies)).alias("copy")).select("row.*")
+    taken = spread_join(marked, plan, "key", "n", ["h"]).filter(copies > 0)
+    return taken.select("row", F.explode(F.sequence(F.lit(1), copies)).alias("copy")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

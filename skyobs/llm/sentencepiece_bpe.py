@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyobs.llm.runtime import bounded_batches
+from skyobs.llm.runtime import in_batches
 
 SPACE = "▁"
 #: Spaces stand only at the start of a piece, so that no token spans a place where a space follows something else.
@@ -70,6 +70,10 @@ class Codec:
         self.shorter = [-1] * count  # the longest piece that starts another piece
         for piece, i in self.ids.items():
             self.shorter[i] = self.best[piece[:-1]]
+        # a model that normalises texts, merges otherwise or has no dummy prefix would show in one of these
+        for probe in ("  A\u00c5\uff21\u00a0e\u0301  b\t\r\n", "\u2581\ufb01 \u3000\u200b\u00bd", "The same words, again and again."):
+            if sp.encode(probe, add_bos=True, add_eos=True) != self.encode(probe):
+                raise ValueError("the model's normalisation isn't the identity with a dummy prefix, or it isn't of the merge type")
 
     def merged(self, text: str) -> list[str]:
         """Symbols of a short text after merging the best-scored neighbours, leftmost first, again and again."""
@@ -266,7 +270,6 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
 def _mapped(docs: DataFrame, path: str, id_col: str, text_col: str, returns: str, make) -> DataFrame:
     """Rows of make(ids, decoded) beside the id. The model is read on the driver and travels with the code: it is one file of bounded size."""
-    bounded_batches(docs.sparkSession)
     model = model_bytes(path)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = slim.schema["id"].dataType.simpleString()
@@ -281,4 +284,4 @@ def _mapped(docs: DataFrame, path: str, id_col: str, text_col: str, returns: str
                 arrays = [pa.array(c, pa.list_(pa.int32()) if isinstance(c[0], list) else None) for c in columns]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["id", *names])
 
-    return slim.mapInArrow(run, f"id {id_type}, {returns}").withColumnRenamed("id", id_col)
+    return in_batches(slim, run, f"id {id_type}, {returns}").withColumnRenamed("id", id_col)

@@ -5,35 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyobs.llm.runtime import checkpointed
+from skyobs.llm.runtime import checkpointed, in_buckets, partitions, salted
 
+#: Stands for a null id in the order of ids: nulls come first.
+FIRST = -(1 << 63)
 
-def with_prefix_sums(rows: DataFrame, order: list[str], size: str) -> DataFrame:
-    """Add `part`, `before` (size of all rows ahead in the global order) and `rank` (how many they are).
 
-    The rows are range-partitioned once and kept; the totals of the partitions, one row each, become
-    offsets by a running sum, and within a partition a window adds the local sums. No row order passes
-    through one task. Nulls in the order come first; ties in all of `order` get an arbitrary order.
-    Only `rows`' own columns are kept beside the three added.
+def with_prefix_sums(dealt: DataFrame, order: list[str], sums: list[str]) -> DataFrame:
+    """dealt with `rank` (how many rows are ahead in the global order) and for each of sums `before_<name>` (its sum over those).
+
+    dealt has `bucket`: rows of a lower one come first, and within one `order` decides. The local sums of a bucket are
+    kept with the rows; the totals of the buckets, one row each, become offsets by a running sum. No row order
+    passes through one task. Ties in all of `order` get an arbitrary order.
     """
-    dealt = checkpointed(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
-    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = dealt.groupBy("part").agg(F.sum(size).alias("_bytes"), F.count(F.lit(1)).alias("_rows"))
-    offsets = totals.select(
-        F.col("part").alias("_part"),
-        F.coalesce(F.sum("_bytes").over(ahead), F.lit(0)).alias("_bytes_ahead"),
-        F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_rows_ahead"),
-    )
-    local = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        dealt.withColumn("_b", F.coalesce(F.sum(size).over(local), F.lit(0)))
-        .withColumn("_r", F.coalesce(F.count(F.lit(1)).over(local), F.lit(0)))
-        # one row for each partition: bounded by the number of shuffle partitions
-        .join(F.broadcast(offsets), F.col("part") == F.col("_part"))
-        .withColumn("before", F.col("_b") + F.col("_bytes_ahead"))
-        .withColumn("rank", F.col("_r") + F.col("_rows_ahead"))
-        .drop("_part", "_b", "_r", "_bytes_ahead", "_rows_ahead")
-    )
+    local = Window.partitionBy("bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    kept = checkpointed(dealt.select("*", zero(F.count(F.lit(1)).over(local)).alias("_rank"), *[zero(F.sum(c).over(local)).alias(f"_before_{c}") for c in sums]))
+    totals = kept.groupBy("bucket").agg(F.count(F.lit(1)).alias("_rows"), *[F.sum(c).alias(f"_sum_{c}") for c in sums])
+    offsets = totals.select(F.col("bucket").alias("_bucket"), zero(F.sum("_rows").over(ahead)).alias("_rows_ahead"), *[zero(F.sum(f"_sum_{c}").over(ahead)).alias(f"_ahead_{c}") for c in sums])
+    # one row for each bucket: bounded by the number of shuffle partitions
+    found = kept.join(F.broadcast(offsets), F.col("bucket") == F.col("_bucket"))
+    return found.select(*dealt.columns, (F.col("_rank") + F.col("_rows_ahead")).alias("rank"), *[(F.col(f"_before_{c}") + F.col(f"_ahead_{c}")).alias(f"before_{c}") for c in sums])
+
+
+def in_ranges(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows, dealt to ranges by any columns, with `bucket`, for with_prefix_sums. For small rows: the window deals them again."""
+    return checkpointed(rows.repartitionByRange(*order).withColumn("bucket", F.spark_partition_id()))
 
 
 def shard_of(before: Column, size: Column, total: Column, shards: int) -> Column:
@@ -48,26 +46,19 @@ def byte_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_c
     Returns id_col, size (UTF-8 bytes of the text plus 1; a null text has 1), text_crc32 (of the text's
     UTF-8; 0 for null or empty), law ('bytes'), shard, slot (from 0 in each shard, without gaps, in the
     order of ids) and grown_shard (null under this law). Shards differ from the equal share by at most
-    the two documents on their borders. Null ids come first; repeated ids and rows are all kept; other
-    columns are ignored, whatever their names; an empty table gives an empty one.
-    Texts never move: only (id, size, checksum) rows are shuffled.
+    the two documents on their borders. Ids are whole numbers; null ids come first; repeated ids and rows are all
+    kept, in the order of a hash of size and checksum; other columns are ignored, whatever their names; an
+    empty table gives an empty one. Texts never move: only (id, size, checksum) rows are shuffled, once, and an
+    id that many rows share is spread over tasks.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    slim = docs.select(F.col(id_col), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    placed = with_prefix_sums(slim, [id_col, "size", "text_crc32"], "size")
-    total = placed.agg(F.sum("size").alias("_total"))
-    with_shard = checkpointed(
-        placed.crossJoin(F.broadcast(total)).withColumn("shard", shard_of(F.col("before"), F.col("size"), F.col("_total"), shards)).drop("_total")
-    )
+    text, n = F.coalesce(F.col(text_col), F.lit("")), partitions(docs.sparkSession)
+    slim = docs.select(F.col(id_col).alias("id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    keyed = slim.withColumn("key", F.coalesce(F.col("id").cast("long"), F.lit(FIRST))).withColumn("tie", salted(F.xxhash64("size", "text_crc32")))
+    placed = with_prefix_sums(in_buckets(checkpointed(keyed), "key", "tie", n).repartitionById(n, "bucket"), ["key", "tie"], ["size"])
+    total = placed.agg(F.sum("size").alias("total"))
+    with_shard = placed.crossJoin(F.broadcast(total)).withColumn("shard", shard_of(F.col("before_size"), F.col("size"), F.col("total"), shards))
     # `shards` rows: where each shard starts in the global order
-    starts = with_shard.groupBy("shard").agg(F.min("rank").alias("_start")).withColumnRenamed("shard", "_shard")
+    starts = with_shard.groupBy("shard").agg(F.min("rank").alias("start")).withColumnRenamed("shard", "_shard")
     return with_shard.join(F.broadcast(starts), F.col("shard") == F.col("_shard")).select(
-        id_col, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("rank") - F.col("_start")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+        F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("rank") - F.col("start")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
-
-
-def shard_totals(sharded: DataFrame) -> DataFrame:
-    """Rows and bytes of each shard."""
-    return sharded.groupBy("shard").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("size").alias("n_bytes"))
-
-
