@@ -12,14 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyobs.llm.components import components
-from skyobs.llm.runtime import bounded_batches, checkpointed
+from skyobs.llm.runtime import checkpointed, fresh, in_batches, named, spread_join
 
 #: Words in a shingle, seed of the hash, most differing bits of a link.
 SHINGLE, SEED, BITS = 3, 42, 3
 #: Eight byte positions; a link's differing bits lie in BITS of them at most, so it shares SHARED positional bytes at least.
 POSITIONS, SHARED = 8, 8 - BITS
-#: Up to so many fingerprints of a list are compared with each other; more are compared with all masks of few bits.
-PAIRED = 2048
+#: The positions in two groups of four. Of SHARED positions three lie in one group, so LISTED of one group make a list.
+GROUPS, LISTED = (range(4), range(4, 8)), 3
+#: A list of more fingerprints is split by a further position.
+LONG = 1 << 12
 CHUNK = 1 << 14
 #: Near copies: words in a shingle and least Jaccard similarity, as a fraction.
 NEAR_SHINGLE, SIMILAR = 5, (4, 5)
@@ -54,7 +56,6 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """id_col and fp (the fingerprint's 64 bits as a signed bigint) for every whole text."""
-    bounded_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["id", "fp"])
 
-    return slim.mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, fp long").withColumnRenamed("id", id_col)
+    return in_batches(slim, run, f"id {slim.schema['id'].dataType.simpleString()}, fp long").withColumnRenamed("id", id_col)
 
 
 def tally(x: np.ndarray) -> np.ndarray:
@@ -70,12 +71,6 @@ def tally(x: np.ndarray) -> np.ndarray:
     return POSITIONS - np.count_nonzero(x.view(np.uint8).reshape(*x.shape, POSITIONS), axis=-1)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Count filter, then verification: enough shared positional bytes and few enough differing bits."""
-    x = a ^ b
-    return (tally(x) >= SHARED) & (np.bitwise_count(x) <= BITS)
-
-
 def _masks(free: int) -> np.ndarray:
     """All 64-bit masks of one to BITS bits within the bits set in free."""
     bits = [1 << k for k in range(64) if free >> k & 1]
@@ -83,7 +78,12 @@ def _masks(free: int) -> np.ndarray:
 
 
 def _forest(values: np.ndarray, free: int) -> Iterator[tuple[int, int]]:
-    """Links between sorted distinct fingerprints of one list, less those that a forest of the others implies."""
+    """Links between sorted distinct fingerprints of one list, less those that a forest of the others implies.
+
+    Shared positional bytes are tallied for each pair; pairs with enough of them are verified bit by bit. Only a
+    list whose SHARED bytes are all fixed can be LONG: no tally in it is too low, so its members are looked up
+    under every mask of few bits in the free bytes instead.
+    """
     n = len(values)
     parent = np.arange(n)
 
@@ -99,11 +99,13 @@ def _forest(values: np.ndarray, free: int) -> Iterator[tuple[int, int]]:
             if a != b:
                 parent[max(a, b)] = min(a, b)
 
-    if n <= PAIRED:
+    if n <= LONG:
         for k in range(n - 1):
-            hit = np.flatnonzero(linked(values[k + 1 :], values[k : k + 1])) + k + 1
-            if len(hit):
-                join(np.full(len(hit), k), hit)
+            x = values[k + 1 :] ^ values[k]
+            near = np.flatnonzero(tally(x) >= SHARED)
+            near = near[np.bitwise_count(x[near]) <= BITS]
+            if len(near):
+                join(np.full(len(near), k), near + k + 1)
     else:
         for mask in _masks(free):
             other = values ^ mask
@@ -115,21 +117,54 @@ def _forest(values: np.ndarray, free: int) -> Iterator[tuple[int, int]]:
             yield k, r
 
 
+def _bytes_of(positions: tuple[int, ...]) -> int:
+    """The mask of the bytes at some positions, as a signed number."""
+    mask = sum(0xFF << 8 * k for k in positions)
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _listed(rows: DataFrame, choices: list[tuple[int, ...]]) -> DataFrame:
+    """(fp, place, bytes): each fingerprint once under each choice of positions; place is the mask of the choice."""
+    entry = [F.struct(F.lit(_bytes_of(c)).alias("place"), F.col("fp").bitwiseAND(F.lit(_bytes_of(c))).alias("bytes")) for c in choices]
+    return rows.select("fp", F.inline(F.array(*entry)))
+
+
+def index_lists(nodes: DataFrame) -> DataFrame:
+    """The index: (fp, place, bytes) such that any two fingerprints with SHARED equal positional bytes meet in a list.
+
+    Lists are made by LISTED positions of one group. Members of a list of over LONG go on to lists of one more
+    position, any of the others: two of them that share SHARED bytes in all share one of those. Lists of SHARED
+    positions aren't split. Lists are counted by partial aggregates, and long ones are spread where they are split.
+    """
+    lists = checkpointed(_listed(nodes, [c for g in GROUPS for c in combinations(g, LISTED)]))
+    done, width = None, LISTED
+    while True:
+        counted = lists.groupBy("place", "bytes").agg(F.count(F.lit(1)).alias("n"))
+        long = checkpointed(counted.filter(F.col("n") > LONG).select(F.xxhash64("place", "bytes").alias("at"), F.col("place").alias("long_place"), F.col("bytes").alias("long_bytes"), "n")) if width < SHARED else None
+        if long is None or long.isEmpty():
+            return lists if done is None else done.unionByName(lists)
+        met = spread_join(lists.withColumn("at", F.xxhash64("place", "bytes")), long, "at", "n", ["fp"]).withColumn("split", (F.col("place") == F.col("long_place")) & (F.col("bytes") == F.col("long_bytes")))
+        met = checkpointed(met.select("fp", "place", "bytes", F.coalesce("split", F.lit(False)).alias("split")))
+        short = met.filter("not split").drop("split")
+        done = short if done is None else done.unionByName(short)
+        further = []
+        for k in range(POSITIONS):
+            byte = F.lit(_bytes_of((k,)))
+            wider = F.col("place").bitwiseOR(byte)
+            further.append(F.when(F.col("place").bitwiseAND(byte) == 0, F.struct(wider.alias("place"), F.col("fp").bitwiseAND(wider).alias("bytes"))))
+        lists = checkpointed(met.filter("split").select("fp", F.inline(F.array_compact(F.array(*further)))).distinct())
+        width += 1
+
+
 def links(nodes: DataFrame) -> DataFrame:
     """Links (a, b) among distinct fingerprints nodes(fp), enough of them to connect all that are within BITS bits.
 
-    A pair within BITS bits shares SHARED of its POSITIONS positional bytes. The index therefore lists each
-    fingerprint under every choice of SHARED positions with their bytes: two fingerprints meet in a list if
-    and only if their tally of shared positional bytes reaches that minimum. Lists are sorted into runs, and
-    pairs of a run are verified bit by bit in the task, where a union-find keeps a forest: as many links as
-    fingerprints at most leave it, never all pairs. A long run is probed with every mask of few bits in the
-    free positions instead: time in proportion to its length, no cap. A list holds 8 bytes a fingerprint.
+    A pair within BITS bits shares SHARED of its POSITIONS positional bytes, and so meets in a list of index_lists.
+    Lists are sorted into runs. In the task, the shared positional bytes of a run's pairs are tallied, pairs that
+    reach the guaranteed minimum are verified bit by bit, and a union-find keeps a forest: as many links as
+    fingerprints at most leave it, never all pairs. There is no cap. A run holds 8 bytes a fingerprint.
     """
-    bounded = [p for p in combinations(range(POSITIONS), SHARED)]
-    fixed = [sum(0xFF << 8 * k for k in p) for p in bounded]
-    signed = [m - (1 << 64) if m >> 63 else m for m in fixed]
-    listed = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("place", "bytes"))
-    dealt = listed.repartition("place", "bytes").sortWithinPartitions("place", "bytes", "fp")
+    dealt = index_lists(nodes).repartition("place", "bytes").sortWithinPartitions("place", "bytes", "fp")
     everything = (1 << 64) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +175,7 @@ def links(nodes: DataFrame) -> DataFrame:
             if held_key is not None:
                 values = np.unique(np.concatenate(held))
                 if len(values) > 1:
-                    for k, r in _forest(values, everything ^ fixed[held_key[0]]):
+                    for k, r in _forest(values, everything & ~held_key[0]):
                         yield int(values[k].view(np.int64)), int(values[r].view(np.int64))
 
         for batch in batches:
@@ -171,17 +206,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """id_col, fp and component_id (the smallest id that links reach, its own included) for every document.
 
     Equal fingerprints are one node of the graph, however many documents have them, so the work on links
-    grows with distinct fingerprints. Texts without words have fingerprint zero and are linked like others.
+    grows with distinct fingerprints, and those that very many documents have are spread over tasks. Texts without words have fingerprint zero and are linked like others.
     A null id counts for no minimum; a component of null ids alone has a null component_id. Repeated ids and
     rows are all kept; columns of other names are ignored; an empty table gives an empty one.
     """
-    marked = checkpointed(fingerprints(docs, id_col, text_col))
-    nodes = checkpointed(marked.groupBy("fp").agg(F.min(id_col).alias("least")))
+    marked = checkpointed(fingerprints(docs, id_col, text_col)).withColumn("salt", F.monotonically_increasing_id())
+    nodes = checkpointed(marked.groupBy("fp").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("n")))
     found = components(links(nodes.select("fp")))
-    rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(smallest, "root").select(F.col("fp").alias("node"), "component_id")
-    return marked.join(named, marked["fp"] == named["node"]).select(id_col, "fp", "component_id")
+    rooted = checkpointed(nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("m"))
+    named_ones = checkpointed(spread_join(rooted.select("fp", "n", "root"), checkpointed(smallest), "root", "m", ["fp"]).select("fp", "n", "component_id"))
+    return spread_join(marked, named_ones, "fp", "n", ["salt"]).select(id_col, "fp", "component_id")
 
 
 def minima(text: str | None) -> tuple[int, np.ndarray]:
@@ -216,7 +251,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             left, right = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text_a", "text_b"))
             yield batch.select(["a", "b"]).filter(pa.array([alike(x, y) for x, y in zip(left, right, strict=True)], pa.bool_()))
 
-    return checkpointed(pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"))
+    return checkpointed(in_batches(pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b"), run, "a long, b long"))
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,7 +263,6 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     node alone; then pairs that are still in different groups are compared, all of them. So lists of one
     group, however long, take time in proportion to their length, and there is no cap.
     """
-    bounded_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_text"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +271,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             node = pa.array(np.array(nodes, np.uint64).view(np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), node, pa.array(list(bands), pa.list_(pa.int64()))], names=["_id", "_text", "node", "bands"])
 
-    marked = checkpointed(slim.mapInArrow(run, f"_id {slim.schema['_id'].dataType.simpleString()}, _text long, node long, bands array<long>"))
+    marked = checkpointed(in_batches(slim, run, f"_id {slim.schema['_id'].dataType.simpleString()}, _text long, node long, bands array<long>"))
     listed = marked.select("node", F.explode("bands").alias("band")).distinct()
     lists = listed.groupBy("band").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "least")
     members = checkpointed(listed.join(lists, "band"))
