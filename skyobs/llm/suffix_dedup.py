@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,17 +11,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from skyobs.llm.runtime import bounded_batches, checkpointed, shared_folder
+from skyobs.llm.distributed_suffixes import equal_prefixes
+from skyobs.llm.runtime import HOT_SHARE, checkpointed, in_batches, named, partitions, remove_folder, shared_folder, spread_join
 from skyobs.llm.suffix_array import suffix_array
 
 #: Length of a repeated string, and of the grams of which each window of that length has one as its anchor.
 LENGTH, GRAM = 100, 32
 #: Bytes of text that are worked on at once, and bytes of contexts that are suffix-sorted together.
 SLICE, SORTED_TOGETHER = 1 << 20, 1 << 20
-#: Distinct contexts of an anchor up to which they are suffix-sorted in one task; the windows of a larger group are dealt out one by one.
+#: Distinct contexts of an anchor up to which one task sorts their suffixes; those of more are sorted across the cluster.
 TOGETHER = 24_000
-#: Anchors, or contexts, with over one in so many of all occurrences are hot: there can't be more of them than this, so they are broadcast.
-HOT_SHARE = 2_000
+#: One in so many documents tells which anchors are hot, which matters for how rows are dealt alone; parts that rows of one document are dealt to.
+SAMPLED, SALTS = 64, 16
 FIRST = -(1 << 63)
 
 
@@ -138,6 +139,54 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(keys[text]), pa.array(tags[text]), pa.array(p)], names=["a", "c", "k", "tag", "p"])
 
 
+#: What becomes of a context: all its windows start earlier elsewhere; some may; it has a hot anchor and is looked at apart.
+REPEATED, OPEN, HOT = 0, 1, 2
+
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts in the order of (by, hot, c, k, tag, p), where by is the anchor of all that aren't hot.
+
+    Of equal contexts, which follow each other, the first stays and the others are REPEATED. A first one is OPEN if
+    another context of its anchor comes before or after it; what has no neighbour of its anchor goes.
+    """
+    names = ["kind", "a", "c", "k", "tag", "p"]
+    before: tuple[int, int] | None = None  # anchor and context of the last row
+    held: tuple | None = None  # the last first row, and whether it was told
+    told = False
+    for batch in batches:
+        hot = batch.column(batch.schema.get_field_index("hot")).to_numpy(zero_copy_only=False)
+        every = {c: batch.column(batch.schema.get_field_index(c)).to_numpy() for c in names[1:]}
+        parts = []
+
+        def add(kind: int, rows: dict[str, np.ndarray]) -> None:
+            if len(rows["a"]):
+                parts.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(rows["a"]), kind, np.int32)), *(pa.array(rows[c]) for c in names[1:])], names=names))  # noqa: B023
+
+        if hot.any():
+            add(HOT, {c: v[hot] for c, v in every.items()})
+            every = {c: v[~hot] for c, v in every.items()}
+        a, c = every["a"], every["c"]
+        if len(a):
+            fresh = np.ones(len(a), bool)
+            fresh[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
+            fresh[0] = before != (a[0], c[0])
+            before = (a[-1], c[-1])
+            add(REPEATED, {n: v[~fresh] for n, v in every.items()})
+            first = {n: v[fresh] for n, v in every.items()}
+            if held is not None:
+                first = {n: np.concatenate(([x], first[n])) for n, x in zip(names[1:], held, strict=True)}
+            anchors = first["a"]
+            if len(anchors):
+                same = anchors[1:] == anchors[:-1]
+                is_open = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+                if told:
+                    is_open[0] = False
+                add(OPEN, {n: v[is_open] for n, v in first.items()})
+                told = bool(is_open[-1]) or (told and len(anchors) == 1)
+                held = tuple(v[-1] for v in first.values())
+        yield from parts
+
+
 def _spans(k: np.ndarray, tag: np.ndarray, p: np.ndarray, of: np.ndarray, offset: np.ndarray) -> pa.RecordBatch:
     """Runs of windows (context number, offset in it), in that order, as byte spans."""
     fresh = np.flatnonzero((of[1:] != of[:-1]) | (offset[1:] != offset[:-1] + 1)) + 1
@@ -149,6 +198,36 @@ def _spans(k: np.ndarray, tag: np.ndarray, p: np.ndarray, of: np.ndarray, offset
     )
 
 
+def _trimmed(k: np.ndarray, tag: np.ndarray, p: np.ndarray, contents: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Contexts cut to the stretch from their first to their last window whose hash occurs twice; those without one go.
+
+    Equal windows have equal hashes, so no repeat is lost. Whether windows are equal is left to the sort.
+    """
+    lengths = np.array([len(c) for c in contents])
+    starts = np.cumsum(lengths) - lengths
+    raw = np.frombuffer(b"".join(contents), np.uint8)
+    power = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(raw), _BASE, np.uint64))))
+    back = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(raw), _INVERSE, np.uint64))))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_OTHER[raw] * power[:-1])))
+    counts = (p & 0xFF) + 1
+    of = np.repeat(np.arange(len(p)), counts)
+    offset = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = starts[of] + offset
+    hashed = _mixed((total[at + LENGTH] - total[at]) * back[at])
+    order = np.argsort(hashed)
+    same = hashed[order[1:]] == hashed[order[:-1]]
+    twice = np.zeros(len(at), bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    hit = np.flatnonzero(twice)
+    if not len(hit):
+        return k[:0], tag[:0], p[:0], []
+    heads = np.flatnonzero(np.concatenate(([True], of[hit][1:] != of[hit][:-1])))
+    tails = np.concatenate((heads[1:], [len(hit)])) - 1
+    kept, low, high = of[hit[heads]], offset[hit[heads]], offset[hit[tails]]
+    cut = [contents[i][a : b + LENGTH] for i, a, b in zip(kept.tolist(), low.tolist(), high.tolist(), strict=True)]
+    return k[kept], tag[kept], ((p[kept] >> 8) + low) << 8 | (high - low), cut
+
+
 def repeated_windows(k: np.ndarray, tag: np.ndarray, p: np.ndarray, contents: list[bytes]) -> pa.RecordBatch | None:
     """Spans of the windows of contexts that also start earlier among these contexts.
 
@@ -160,6 +239,9 @@ def repeated_windows(k: np.ndarray, tag: np.ndarray, p: np.ndarray, contents: li
     order = order[np.concatenate(([True], ~same))]  # of a repeated row, one copy: with more, its windows would all seem to start earlier
     k, tag, p = k[order], tag[order], p[order]
     contents = [contents[i] for i in order]
+    k, tag, p, contents = _trimmed(k, tag, p, contents)
+    if not contents:
+        return None
     lengths = np.array([len(c) for c in contents])
     starts = np.cumsum(lengths + 1) - lengths - 1
     raw = np.frombuffer(b"\0".join([*contents, b""]), np.uint8)
@@ -214,108 +296,96 @@ def _sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush(pa.Table.from_batches(held))
 
 
-def _cut(emit: Callable) -> Callable:
-    """A pass over (k, tag, text, wanted): emit(a, k, tag, p, contents) of the wanted contexts of each text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None
-        for batch in batches:
-            a, k, tags, p, contents = [], [], [], [], []
-            for key, tag, text, wanted in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("k", "tag", "text", "wanted")), strict=True):
-                if (key, tag) == before:  # a repeated row
-                    continue
-                before = key, tag
-                raw = text.encode()
-                for w in wanted:
-                    at = w["p"] >> 8
-                    a.append(w["a"])
-                    k.append(key)
-                    tags.append(tag)
-                    p.append(w["p"])
-                    contents.append(raw[at : at + (w["p"] & 0xFF) + LENGTH])
-            if a:
-                yield from emit(np.array(a, np.int64), np.array(k, np.int64), np.array(tags, np.int64), np.array(p, np.int64), contents)
-
-    return run
-
-
-def _emit_contents(a: np.ndarray, k: np.ndarray, tags: np.ndarray, p: np.ndarray, contents: list[bytes]) -> Iterator[pa.RecordBatch]:
-    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(k), pa.array(tags), pa.array(p), pa.array(contents, pa.binary())], names=["a", "k", "tag", "p", "content"])
-
-
-def _emit_windows(a: np.ndarray, k: np.ndarray, tags: np.ndarray, p: np.ndarray, contents: list[bytes]) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(a), 2048):
-        w, kk, tag, start = [], [], [], []
-        for key, of, place, content in zip(k[i : i + 2048].tolist(), tags[i : i + 2048].tolist(), p[i : i + 2048].tolist(), contents[i : i + 2048], strict=True):
-            for offset in range((place & 0xFF) + 1):
-                w.append(hashlib.blake2b(content[offset : offset + LENGTH], digest_size=16).digest())
-                kk.append(key)
-                tag.append(of)
-                start.append((place >> 8) + offset)
-        yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(kk, pa.int64()), pa.array(tag, pa.int64()), pa.array(start, pa.int64())], names=["w", "k", "tag", "start"])
-
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, k, tag, p, content, large) of the contexts that are wanted of each text: rows of (k, tag, text, wanted)."""
+    for batch in batches:
+        a, k, tags, p, contents = [], [], [], [], []
+        large = []
+        for key, tag, text, wanted in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("k", "tag", "text", "wanted")), strict=True):
+            raw = text.encode()
+            for w in wanted:
+                at = w["p"] >> 8
+                a.append(w["a"])
+                large.append(w["large"])
+                k.append(key)
+                tags.append(tag)
+                p.append(w["p"])
+                contents.append(raw[at : at + (w["p"] & 0xFF) + LENGTH])
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(k, pa.int64()), pa.array(tags, pa.int64()), pa.array(p, pa.int64()), pa.array(contents, pa.binary()), pa.array(large, pa.bool_())], names=["a", "k", "tag", "p", "content", "large"])
+
+
+def _symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Strings for the distributed sort: bytes plus 1, and an end that is the piece's own."""
+    for batch in batches:
+        made = [np.concatenate((np.frombuffer(c, np.uint8).astype(np.int64) + 1, [257 + n])).tobytes() for n, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["piece", "symbols"])
 
-def _hot(counted: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows of counted(keys, n) with over one HOT_SHARE-th of the sum of n: HOT_SHARE at most, for broadcast."""
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    return F.broadcast(counted.filter(F.col("n") > max(1, total // HOT_SHARE)))
 
+def _sorted_across(cut: DataFrame) -> DataFrame:
+    """Spans (k, tag, start, end) of the windows of contexts cut(a, k, tag, p, content) that also start earlier among them, by the distributed suffix sort.
 
-def repeated_spans(rows: DataFrame) -> DataFrame:
+    Windows whose first LENGTH bytes are equal make a run, in which all but the earliest are repeated. Long runs are spread.
+    """
+    pieces = checkpointed(cut.withColumn("piece", F.monotonically_increasing_id()))
+    if pieces.isEmpty():
+        return pieces.select("k", "tag", F.col("p").alias("start"), F.col("p").alias("end"))
+    runs = equal_prefixes(pieces.select("piece", "content").mapInArrow(_symbols, "piece long, symbols binary"), LENGTH)
+    # a piece has at most 69 windows, so no key of this join is hot
+    windows = checkpointed(runs.join(pieces.select("piece", "k", "tag", "p"), "piece").select("run", "k", "tag", (F.shiftright("p", 8) + F.col("at")).alias("start")))
+    first = windows.groupBy("run").agg(F.min(F.struct("k", "tag", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    later = spread_join(windows, checkpointed(first), "run", "n", ["k", "tag", "start"]).filter(F.struct("k", "tag", "start") > F.col("first"))
+    return later.select("k", "tag", "start", (F.col("start") + LENGTH).alias("end"))
+
+
+def repeated_spans(text: DataFrame) -> DataFrame:
     """k, tag and spans: per text the byte spans covered by LENGTH-byte strings that also start earlier.
 
-    rows has k (the order of documents), tag (tells texts of one k apart) and text. Rows
-    equal in k and tag are one document.
-
-    1. Anchors that occur once in the corpus can't be in a repeated window. Counts by anchor, partial within each
-       batch, tell them; what shares its anchor stays.
-    2. Contexts of equal anchor and bytes (128 bits of hash) are one distinct context with the place of its first
-       occurrence. All windows of the later occurrences are repeated.
-    3. Distinct contexts that share their anchor may still have some windows in common. Their bytes are dealt by
-       anchor, suffix-sorted by the difference-cover algorithm where they land, and neighbours' prefixes
-       compared. Equal windows have equal anchors, so no match is lost between tasks. The windows of an
-       anchor with more than TOGETHER distinct contexts are dealt by a hash of each window instead.
-    No group is gathered whole: steps 1 and 2 are aggregates and joins of fixed-width rows, in which the few
-    hot keys are matched by broadcast.
+    text has k (the order of documents), tag (tells texts of one k apart) and text, and no two rows are equal in k and tag.
+
+    1. Each window is represented by its anchor; a context is a stretch of windows with one anchor. Contexts are
+       dealt by anchor, each row once, and sorted there. Equal ones (64 bits of hash of the anchor and as many of
+       the context) follow each other: all but the first are repeated. Contexts whose anchor no other
+       has can't hold a repeated window and go. Hot anchors, told by a sample, are dealt row by row; for
+       them aggregates and joins that spread hot keys do the same.
+    2. Different contexts that share their anchor may still have some windows in common. Their suffixes are sorted
+       by the difference-cover algorithm and neighbours' first LENGTH bytes compared: in the task that the
+       anchor is dealt to, or, if it has more than TOGETHER of them, across the cluster. Equal windows have
+       equal anchors, so no match is lost between tasks.
     """
-    spark = rows.sparkSession
-    text = rows.select("k", "tag", "text")
-    counts = text.select("text").mapInArrow(_anchor_counts, "a long, n long").groupBy("a").agg(F.sum("n").alias("n"))
-    shared = checkpointed(counts.filter("n > 1"))
-    hot = _hot(shared, ["a"]).select(F.col("a").alias("hot_a"))
-    marked = text.mapInArrow(_context_rows, "a long, c long, k long, tag long, p long").join(hot, F.col("a") == F.col("hot_a"), "left").withColumn("hot", F.col("hot_a").isNotNull())
-    # hot anchors' rows are kept as they are; each gets a key of its own, so that they don't meet in one task
-    dealt = marked.withColumn("by", F.when(F.col("hot"), F.xxhash64("k", "tag", "p")).otherwise(F.col("a"))).join(shared.select(F.col("a").alias("by"), F.lit(True).alias("twice")), "by", "left")
-    kept = dealt.filter("hot or twice").select("a", "c", "k", "tag", "p")
+    spark = text.sparkSession
+    schema = "a long, c long, k long, tag long, p long"
+    some = text.filter(F.pmod(F.xxhash64("k", "tag"), F.lit(SAMPLED)) == 0).select("text")
+    counts = checkpointed(in_batches(some, _anchor_counts, "a long, n long").groupBy("a").agg(F.sum("n").alias("n")))
+    seen = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.filter(F.col("n") > max(8, seen // HOT_SHARE)).select(F.col("a").alias("hot_a"))
+    marked = in_batches(text, _context_rows, schema).join(F.broadcast(hot), F.col("a") == F.col("hot_a"), "left").withColumn("hot", F.col("hot_a").isNotNull())
+    # hot anchors' rows get a key each, so that they don't meet in one task
+    dealt = marked.withColumn("by", F.when(F.col("hot"), F.xxhash64("k", "tag", "p")).otherwise(F.col("a"))).select("by", "hot", *schema.replace(" long", "").split(", "))
+    judged = dealt.repartition(partitions(spark), "by").sortWithinPartitions("by", "hot", "c", "k", "tag", "p").mapInArrow(_judge, f"kind int, {schema}")
     folder = shared_folder(spark, "contexts")
-    kept.write.parquet(folder)
-    found = spark.read.schema("a long, c long, k long, tag long, p long").parquet(folder)
-
-    distinct = found.groupBy("a", "c").agg(F.min(F.struct("k", "tag", "p")).alias("first"), F.count(F.lit(1)).alias("n"))
-    folder = shared_folder(spark, "firsts")
-    distinct.write.parquet(folder)
-    firsts = spark.read.schema("a long, c long, first struct<k: long, tag: long, p: long>, n long").parquet(folder)
-    start = F.shiftright("p", 8)
-    hot_first = _hot(firsts, ["a", "c"]).select(F.col("a").alias("hot_a"), F.col("c").alias("hot_c"), F.col("first").alias("hot_first"))
-    spread = found.join(hot_first, (F.col("a") == F.col("hot_a")) & (F.col("c") == F.col("hot_c")), "left").withColumn("by", F.when(F.col("hot_first").isNotNull(), F.xxhash64("k", "tag", "p")).otherwise(F.col("a")))
-    matched = spread.join(firsts.filter("n > 1").select(F.col("a").alias("by"), "c", "first"), ["by", "c"], "left")
-    later = matched.filter(F.struct("k", "tag", "p") > F.coalesce("hot_first", "first")).select(
-        "k", "tag", start.alias("start"), (start + F.col("p").bitwiseAND(F.lit(0xFF)) + LENGTH).alias("end")
-    )
-    several = firsts.groupBy("a").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    open_ones = firsts.select("a", "first.k", "first.tag", "first.p").join(several, "a")
-
-    def fetched(which: str, emit: Callable, schema: str) -> DataFrame:
-        wanted = open_ones.filter(which).groupBy("k", "tag").agg(F.collect_list(F.struct("a", "p")).alias("wanted"))
-        return text.join(wanted, ["k", "tag"]).mapInArrow(_cut(emit), schema)
-
-    cut = fetched(f"m <= {TOGETHER}", _emit_contents, "a long, k long, tag long, p long, content binary")
-    sorted_ones = cut.repartition("a").sortWithinPartitions("a").mapInArrow(_sort_groups, "k long, tag long, start long, end long")
-    windows = fetched(f"m > {TOGETHER}", _emit_windows, "w binary, k long, tag long, start long")
-    earliest = windows.groupBy("w").agg(F.min(F.struct("k", "tag", "start")).alias("first"))
-    dealt = windows.join(earliest, "w").filter(F.struct("k", "tag", "start") > F.col("first")).select("k", "tag", "start", (F.col("start") + LENGTH).alias("end"))
-    every = later.unionByName(sorted_ones).unionByName(dealt)
-    return every.groupBy("k", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    judged.write.parquet(folder)
+    found = spark.read.schema(f"kind int, {schema}").parquet(folder)
+
+    whole = lambda rows: rows.select("k", "tag", F.shiftright("p", 8).alias("start"), (F.shiftright("p", 8) + F.col("p").bitwiseAND(F.lit(0xFF)) + LENGTH).alias("end"))
+    hots = found.filter(F.col("kind") == HOT).select(F.struct("a", "c").alias("ac"), "k", "tag", "p")
+    firsts = checkpointed(hots.groupBy("ac").agg(F.min(F.struct("k", "tag", "p")).alias("first"), F.count(F.lit(1)).alias("n")))
+    later = spread_join(hots, firsts.filter("n > 1"), "ac", "n", ["k", "tag", "p"]).filter(F.struct("k", "tag", "p") > F.col("first"))
+    open_ones = found.filter(F.col("kind") == OPEN).select("a", "k", "tag", "p").unionByName(firsts.select("ac.a", "first.k", "first.tag", "first.p"))
+    sizes = open_ones.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    large = checkpointed(sizes.filter(F.col("n") > TOGETHER).withColumn("large", F.lit(True)))
+    placed = spread_join(open_ones, large, "a", "n", ["k", "tag", "p"]).withColumn("large", F.coalesce("large", F.lit(False)))
+    wanted = placed.groupBy("k", "tag").agg(F.collect_list(F.struct("a", "p", "large")).alias("wanted"))
+    cut = in_batches(text.join(wanted, ["k", "tag"]), _contents, "a long, k long, tag long, p long, content binary, large boolean")
+    every = whole(found.filter(F.col("kind") == REPEATED)).unionByName(whole(later))
+    if not large.isEmpty():
+        cut = checkpointed(cut)
+        every = every.unionByName(_sorted_across(cut.filter("large")))
+    small = cut.filter("not large").select("a", "k", "tag", "p", "content").repartition(partitions(spark), "a").sortWithinPartitions("a")
+    every = every.unionByName(small.mapInArrow(_sort_groups, "k long, tag long, start long, end long"))
+    spans = checkpointed(every.groupBy("k", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    remove_folder(spark, folder)
+    return spans
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -350,15 +420,38 @@ def whole_characters(raw: bytes, runs: list[tuple[int, int]]) -> list[tuple[int,
     return out
 
 
-def _with_spans(docs: DataFrame, id_col: str, text_col: str, others: list[str]) -> DataFrame:
-    """docs' id, text and other columns with the spans of repeated_spans, null where there are none."""
-    bounded_batches(docs.sparkSession)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST))
-    tag = F.xxhash64(text)
-    rows = docs.select(key.alias("k"), tag.alias("tag"), text.alias("text"))
-    wide = rows if not others else docs.select(key.alias("k"), tag.alias("tag"), text.alias("text"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("others"))
-    return wide.join(repeated_spans(rows), ["k", "tag"], "left")
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """k, tag, text and others (a struct of all other columns) of docs, and whether all ids differ.
+
+    k is the id; nulls come first. If all ids differ, tag is 0; else it is a hash of the text that is checked to
+    tell all texts of one id apart, and another one is taken if it doesn't.
+    """
+    k = F.coalesce(named(id_col).cast("long"), F.lit(FIRST)).alias("k")
+    text = F.coalesce(named(text_col), F.lit("")).alias("text")
+    others = F.struct(*[named(c) for c in docs.columns if c != text_col]).alias("others")
+    if docs.select(k).groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        return docs.select(k, F.lit(0).cast("long").alias("tag"), text, others), True
+    for seed in range(8):
+        tag = F.xxhash64(F.lit(seed), text).alias("tag")
+        told = docs.select(k, tag, F.md5(text).alias("other")).groupBy("k", "tag").agg(F.min("other").alias("low"), F.max("other").alias("high"))
+        if told.filter("low != high").isEmpty():
+            return docs.select(k, tag, text, others), False
+    raise RuntimeError("no hash tells the texts of one id apart")
+
+
+def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """k, tag, text, others (all columns but the text) and spans (of repeated_spans, null where there are none) for each row.
+
+    Rows equal in id and text are one document; one of them stands for all, and each gets its spans. Rows of
+    one document are dealt to SALTS parts to meet them.
+    """
+    wide, distinct = _keyed(docs, id_col, text_col)
+    if distinct:
+        return wide.join(repeated_spans(wide.select("k", "tag", "text")), ["k", "tag"], "left")
+    once = checkpointed(wide.groupBy("k", "tag").agg(F.min("text").alias("text")))
+    spans = repeated_spans(once).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    salted = wide.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    return salted.join(spans, ["k", "tag", "salt"], "left").drop("salt")
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -370,7 +463,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     equal in both are one document, and each gets its result. Other columns are ignored; an empty table
     gives an empty one. Ids are whole numbers.
     """
-    joined = _with_spans(docs, id_col, text_col, [])
+    joined = _with_spans(docs.select(named(id_col), named(text_col)), id_col, text_col).select("k", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -383,7 +476,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 types = [pa.int64()] * 4 + [pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    out = joined.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = in_batches(joined, run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -393,7 +486,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts of which nothing is left go, as do null and empty ones. count_col, if docs has it, gets the new length.
     """
     others = [c for c in docs.columns if c != text_col]
-    joined = _with_spans(docs, id_col, text_col, others)
+    joined = _with_spans(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -404,7 +497,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(batch.schema.get_field_index("others"))], names=["text", "others"])
 
     schema = StructType([StructField("text", StringType()), joined.schema["others"]])
-    out = joined.select("text", "spans", "others").mapInArrow(run, schema).filter("text != ''")
+    out = in_batches(joined.select("text", "spans", "others"), run, schema).filter("text != ''")
     made = {c: F.col("others").getField(c) for c in others} | {text_col: F.col("text")}
     if count_col in docs.columns:
         made[count_col] = F.length("text").cast(docs.schema[count_col].dataType)

@@ -11,9 +11,10 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from skyobs.llm import fingerprint, kneser_ney, language_id, mixing, sentencepiece_bpe, sharding, simhash, suffix_dedup
+from skyobs.llm import distributed_suffixes, fingerprint, kneser_ney, language_id, mixing, sentencepiece_bpe, sharding, simhash, suffix_dedup
 from skyobs.llm.components import components
 from skyobs.llm.queries import tokenizer_path
+from skyobs.llm.runtime import checkpointed
 from skyobs.llm.suffix_array import suffix_array
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -110,11 +111,32 @@ def test_mix(docs, rows, empty):
     again = mixing.mix(docs.repartition(3)).collect()
     assert Counter((r.doc_id, r.size, r.taken) for r in again) == Counter((r.doc_id, r.size, r.taken) for r in got)
     assert mixing.mix(empty).count() == 0
+    nulls = [(None, f"{k} " * 50, None, "b", None) for k in range(200)] + [(None, "same " * 50, None, "c", None)] * 200 + [(9, "x " * 50, None, "d", None)] * 100
+    sums = mixing.mix(docs.sparkSession.createDataFrame(nulls, "doc_id long, text string, lang string, source string, n_chars long")).groupBy("source").agg(F.max("target").alias("t"), F.sum("taken").alias("s")).collect()
+    assert len(sums) == 3 and all(abs(r.t - r.s) <= 50 for r in sums)
+    odd = docs.withColumn("a.b", F.lit(1)).withColumn("_id", F.lit(2)).withColumn("x`y", F.lit(3))
+    assert mixing.mixed_rows(odd).columns == odd.columns and mixing.mixed_rows(odd).count() == sum(r.copies for r in got)
     out = mixing.mixed_rows(docs)
     assert out.columns == docs.columns
     assert Counter(r.doc_id for r in out.collect()) == Counter({i: n for i, n in Counter(i for r in got for i in [r.doc_id] * r.copies).items()})
 
 
+def test_many_sources(spark, monkeypatch):
+    """Targets and thresholds of more sources than are broadcast."""
+    from skyobs.llm import runtime
+
+    monkeypatch.setattr(runtime, "SMALL", 5)
+    rows = [(k, "w " * (k % 17), f"s{k % 40}" if k % 41 else None) for k in range(2000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    sizes, taken = Counter(), Counter()
+    for r in got:
+        sizes[r.source] += r.size
+        taken[r.source] += r.taken
+    want = filled(sizes)
+    assert len(got) == 2000 and all(r.target == pytest.approx(want[r.source]) for r in got)
+    assert all(abs(taken[s] - t) <= 16 for s, t in want.items())
+
+
 def test_targets_refill():
     assert filled({"a": 10, "b": 100, "c": 100})["a"] == 20
 
@@ -146,7 +168,7 @@ def test_simhash(docs, rows, empty):
 
 
 def test_links_of_long_lists(spark, monkeypatch):
-    """Long lists are probed by masks: the same components as comparing all pairs."""
+    """Lists of any length give the same components as comparing all pairs, and the tally turns pairs of a list away."""
     g = np.random.default_rng(3)
     base = int(g.integers(1 << 62))
     fps = {base}
@@ -155,22 +177,42 @@ def test_links_of_long_lists(spark, monkeypatch):
         for b in g.integers(0, 64, 4):
             f ^= 1 << int(b)
         fps.add(f)
+    # share three bytes of a group and no others: candidates of a list whose tally is too low
+    fps |= {base & 0xFFFFFF | int(x) << 24 for x in g.integers(0, 1 << 39, 60)}
     fps = sorted(fps)
-    df = spark.createDataFrame([((f - (1 << 64)) if f >> 63 else f,) for f in fps], "fp long")
+    signed = lambda v: [((int(f) - (1 << 64)) if int(f) >> 63 else int(f),) for f in v]
+    df = spark.createDataFrame(signed(fps), "fp long")
     want = len(_classes(fps))
-    for most in (2048, 2):
-        values = np.array(fps, np.uint64)
-        monkeypatch.setattr(simhash, "PAIRED", most)
-        parts = list(simhash._forest(values, (1 << 64) - 1)) if most == 2048 else None
-        assert parts is None or len(fps) - len(parts) == want
-    linked = components(simhash.links(df))
-    assert len(fps) - linked.count() + linked.select("root").distinct().count() == want
+    values = np.array(fps, np.uint64)
+    assert len(fps) - len(list(simhash._forest(values, (1 << 64) - 1))) == want
+    low = np.array([f for f in fps if f & 0xFFFFFF == base & 0xFFFFFF], np.uint64)
+    assert (simhash.tally(low[1:] ^ low[0]) < simhash.SHARED).sum() > 20
+    for most in (1 << 12, 20, 2):
+        monkeypatch.setattr(simhash, "LONG", most)
+        lists = simhash.index_lists(df)
+        widths = {bin(r.place & (1 << 64) - 1).count("1") // 8 for r in lists.select("place").distinct().collect()}
+        assert widths == {4096: {3}, 20: {3, 4}, 2: {3, 4, 5}}[most]
+        linked = components(simhash.links(df))
+        assert len(fps) - linked.count() + linked.select("root").distinct().count() == want
     free = 0xFFFFFF
     near = np.unique(np.array([base & ~free | int(x) for x in g.integers(0, 1 << 12, 300)], np.uint64))
-    monkeypatch.setattr(simhash, "PAIRED", 2)
     assert len(near) - len(list(simhash._forest(near, free))) == len(_classes(near.tolist()))
 
 
+def test_hot_fingerprints_and_hubs(spark, monkeypatch):
+    """With every key hot or cold instead of broadcast: empty texts, copies and a hub are spread and lose nothing."""
+    from skyobs.llm import runtime
+
+    monkeypatch.setattr(runtime, "SMALL", 0)
+    monkeypatch.setattr(runtime, "HOT_SHARE", 4)
+    rows = [(None if k % 3 else k, "" if k % 2 else "the same few words") for k in range(120)] + [(200 + k, f"text {k} of its own kind {k * k}") for k in range(20)]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(r.component_id for r in got) == Counter({0: 60, 3: 60}) + Counter(200 + k for k in range(20))
+    star = [(0, k) for k in range(1, 200)] + [(k, 1000 + k) for k in range(1, 200)]
+    found = components(spark.createDataFrame(star, "a long, b long")).collect()
+    assert len(found) == 399 and {r.root for r in found} == {0}
+
+
 def _classes(fps):
     root = list(range(len(fps)))
 
@@ -213,7 +255,9 @@ def brute_repeats(rows):
 
 @pytest.mark.parametrize("together", [24_000, 1])
 def test_repeats(docs, rows, empty, together, monkeypatch):
+    """In tasks, and with every anchor's contexts sorted across the cluster in several buckets."""
     monkeypatch.setattr(suffix_dedup, "TOGETHER", together)
+    monkeypatch.setattr(distributed_suffixes, "MERGED", 500)
     monkeypatch.setattr(suffix_dedup, "SLICE", 700)
     got = [tuple(r) for r in suffix_dedup.digests(docs).collect()]
     assert Counter(got) == Counter(brute_repeats(rows))
@@ -239,6 +283,49 @@ def test_repeats_of_repeated_rows_and_null_ids(spark, together, monkeypatch):
     assert sorted(r[2] for r in got) == [0, 0, 201] and (None, len(clash.q), 0) in got
 
 
+def test_distributed_suffix_order(spark, monkeypatch):
+    """The order of all suffixes equals sorting them, with repetitive strings, short ones and several merge buckets."""
+    monkeypatch.setattr(distributed_suffixes, "MERGED", 40)
+    g = random.Random(2)
+    pieces = [bytes(g.choice(b"ab") for _ in range(g.randint(0, 40))) for _ in range(25)] + [b"a" * 60, b"a" * 61, b"ab" * 40, b"", b"x"]
+    df = spark.createDataFrame([(k, bytearray(c)) for k, c in enumerate(pieces)], "piece long, content binary")
+    strings = checkpointed(df.mapInArrow(suffix_dedup._symbols, "piece long, symbols binary"))
+    symbols = [[b + 1 for b in c] + [257 + k] for k, c in enumerate(pieces)]
+    want = sorted(((k, i) for k, s in enumerate(symbols) for i in range(len(s))), key=lambda x: symbols[x[0]][x[1] :])
+    order = distributed_suffixes._merged(strings, distributed_suffixes._ranks(strings), len(want))
+    runs, n, rows = distributed_suffixes.numbered_runs(order, ["piece", "at"], "piece at")
+    assert [(r.piece, r.at) for r in sorted(runs.collect(), key=lambda r: r.run)] == want and n == rows == len(want)
+    assert order.rdd.getNumPartitions() > 3
+    groups = defaultdict(set)
+    for r in distributed_suffixes.equal_prefixes(strings, 7).collect():
+        groups[r.run].add((r.piece, r.at))
+    brute = defaultdict(set)
+    for k, c in enumerate(pieces):
+        for i in range(len(c) - 6):
+            brute[c[i : i + 7]].add((k, i))
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, brute.values()))
+
+
+def test_hot_anchors_and_copies(spark, monkeypatch):
+    """One passage in nearly all texts, many null ids, and long rows that are repeated: equal to brute force."""
+    from skyobs.llm import runtime
+
+    g = random.Random(9)
+    some = lambda n: "".join(g.choice("etaoinshr ") for _ in range(n))
+    passage = some(260)
+    texts = [some(g.randint(0, 120)) + passage[g.randint(0, 40) :] + some(g.randint(0, 90)) for _ in range(150)]
+    rows = [(k if k % 3 else None, t) for k, t in enumerate(texts)] + [(None, texts[0])] * 40 + [(7, texts[5])] * 40
+    order = {t: h for t, h in ((r[0], r[1]) for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.xxhash64(F.lit(0), "t")).collect())}
+    distinct = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, order[r[1]]))
+    want = dict(zip(distinct, [x[2:] for x in brute_repeats([(k, t) for k, (_, t) in enumerate(distinct)])]))
+    for share, small in ((2_000, 10_000), (50, 0)):
+        monkeypatch.setattr(suffix_dedup, "HOT_SHARE", share)
+        monkeypatch.setattr(suffix_dedup, "SAMPLED", 2)
+        monkeypatch.setattr(runtime, "SMALL", small)
+        got = suffix_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+        assert Counter((r.doc_id, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == Counter((r[0], *want[r]) for r in rows)
+
+
 def test_repeats_cut_at_characters(spark):
     long = "".join(chr(0x100 + k) + "🙂" for k in range(120))
     df = spark.createDataFrame([(1, "a" + long, 9), (2, "b" + long + "tail", 9), (3, long, 9)], "doc_id long, text string, n_chars int")
@@ -282,25 +369,52 @@ def test_tokens_of_odd_texts():
         assert c.decode(ids) == sp.decode(ids)
 
 
-def test_fingerprints(docs, rows, empty):
+def brute_print(text):
+    """The packed fingerprint by definition: one permutation, bins by leading bits, empty ones filled by probing."""
+    chained = lambda seed, *parts: seed if not parts else chained(xxhash.xxh64_intdigest(parts[0], seed), *parts[1:])
+    int32, int64 = (lambda v: v.to_bytes(4, "little")), (lambda v: v.to_bytes(8, "little"))
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    w = [int64(xxhash.xxh64_intdigest(x, 42)) for x in re.split(r"[\x20\x09-\x0D]+", text) if x]
+    least = {}
+    for i in range(max(1, len(w) - 4)):
+        h = chained(42, *w[i : i + 5])
+        b = h >> 64 - fingerprint.BIN_BITS
+        least[b] = min(least.get(b, h), h)
+    out = []
+    for k in range(fingerprint.BINS):
+        asked = (chained(42, int32(k), int32(t)) % fingerprint.BINS for t in range(fingerprint.PROBES))
+        at = next((b for b in [k, *asked] if b in least), None)
+        value = least[at] if at is not None else min((signed(chained(42, int32(k), int32(b)) & ~255 | h & 255) for b, h in least.items()))
+        out.append(value & 255)
+    return bytes(out)
+
+
+def likeness_of(x, y):
+    equal = sum(a == b for a, b in zip(x, y)) / len(x)
+    return max(0.0, (equal - 1 / 256) / (1 - 1 / 256))
+
+
+def test_fingerprints(spark, docs, rows, empty):
+    check_fingerprints(docs, rows)
+    assert fingerprint.edited_pairs(empty).count() == 0
+    # an id, and one row of it, that hold most rows: several buckets
+    hot = [(None, f"some words of text {k % 50} and more", None, None, None) for k in range(300)] + [(7, "the very same row", None, None, None)] * 300 + [(k, f"other {k}", None, None, None) for k in range(40)]
+    check_fingerprints(spark.createDataFrame(hot, SCHEMA).repartition(3), hot)
+
+
+def check_fingerprints(docs, rows):
     got = fingerprint.edited_pairs(docs).collect()
-    ordered = sorted(rows, key=lambda r: (*key(r), r[1] or ""))
+    hashes = {r[0]: (r[1] & (1 << 64) - 1) >> 25 for r in docs.select(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64("t")).distinct().collect()}
+    ordered = sorted(rows, key=lambda r: (*key(r), hashes[r[1] or ""]))
     texts = [r[1] or "" for r in ordered]
+    prints = {t: brute_print(t) for t in set(texts)}
     want = Counter()
     for k, t in enumerate(texts):
-        q = len(t) // 4
-        want[(ordered[k][0], len(t), hashlib.sha256((t[: len(t) - q] + texts[(k + 1) % len(texts)][:q]).encode()).hexdigest())] += 1
-    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 and len(r.fingerprint) == 2 * fingerprint.BINS for r in got)
-    prints = defaultdict(set)
-    text_of = defaultdict(set)
-    for r in rows:
-        text_of[r[0]].add(r[1] or "")
-    for r in got:
-        if len(text_of[r.doc_id]) == 1:
-            prints[next(iter(text_of[r.doc_id]))].add(r.fingerprint)
-    assert all(len(v) == 1 for v in prints.values())
-    assert fingerprint.edited_pairs(empty).count() == 0
+        q, after = len(t) // 4, texts[(k + 1) % len(texts)]
+        edited = t[: len(t) - q] + after[:q]
+        p = prints.setdefault(edited, brute_print(edited))
+        want[(ordered[k][0], len(t), hashlib.sha256(edited.encode()).hexdigest(), prints[t].hex(), p.hex(), round(likeness_of(prints[t], p), 9), round(likeness_of(prints[t], prints[after]), 9))] += 1
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == want
 
 
 def test_likeness_is_unbiased(spark):
@@ -327,8 +441,9 @@ def language_rows():
 
 
 def test_language_accuracy(spark):
-    df = spark.createDataFrame(language_rows() + [(900, None, "xx"), (901, "123 !?", "yy"), (902, "", None), (None, "kakitu tiku", None)], "doc_id long, text string, lang string")
-    got = language_id.predict(df, language_id.train(df)).join(df.select(F.col("doc_id").alias("d"), "lang"), F.col("doc_id").eqNullSafe(F.col("d"))).collect()
+    df = spark.createDataFrame(language_rows() + [(900, None, "xx"), (901, "123 !? ² ½ ① Ⅷ _", "yy"), (902, "", None), (None, "kakitu tiku", None)], "doc_id long, text string, lang string")
+    clash = df.withColumns({c: F.lit("x") for c in ("id", "hash", "chars", "n", "most")})
+    got = language_id.predict(clash, language_id.train(clash)).join(df.select(F.col("doc_id").alias("d"), "lang"), F.col("doc_id").eqNullSafe(F.col("d"))).collect()
     held = [r for r in got if r.held_out and r.doc_id < 900]
     assert held and np.mean([r.lang_pred == r.lang for r in held]) > 0.97
     assert {r.lang_pred for r in got if r.doc_id in (900, 901, 902)} == {"und"}
@@ -338,6 +453,47 @@ def test_language_accuracy(spark):
     assert {(r.lang_pred, r.score) for r in none.collect()} == {("und", 0.0)}
 
 
+def brute_grams(text):
+    low = [(c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text]
+    return {tuple(low[i : i + n]) for n in language_id.ORDERS for i in range(len(low) - n + 1)} if any(c.isalpha() for c in text) else set()
+
+
+def test_language_scores_by_definition(monkeypatch):
+    """Kernel, landmarks, ridge and scores against the formulas on sets of n-grams; texts in pieces are the whole."""
+    rows = language_rows()[:60]
+    texts, langs = [t for _, t, _ in rows], [lang for _, _, lang in rows]
+    sets = [brute_grams(t) for t in texts]
+    kernel = lambda a, b: len(a & b) / np.sqrt(max(1, len(a)) * max(1, len(b)))
+    names = sorted(set(langs))
+    chosen = [k for name in names for k in [k for k, lang in enumerate(langs) if lang == name][:6]]
+    k_mm = np.array([[kernel(sets[a], sets[b]) for b in chosen] for a in chosen])
+    k_nm = np.array([[kernel(s, sets[b]) for b in chosen] for s in sets])
+    w = np.diag([1 / langs.count(lang) for lang in langs])
+    y = np.array([[float(lang == n) for n in names] for lang in langs])
+    # ridge in the landmarks' feature space: minimise |K_nm a - y|^2 w + ridge a' K_mm a
+    a = np.linalg.solve(k_nm.T @ w @ k_nm + 1e-3 * k_mm, k_nm.T @ w @ y)
+    model = language_id.fit(texts, langs, landmarks=18)
+    asked = texts[:5] + ["ka schl ção ß É x" * 40, "", "1 2"]
+    want = np.array([[kernel(brute_grams(t), sets[b]) for b in chosen] for t in asked]) @ a
+    for chunk in (1 << 20, 7):
+        monkeypatch.setattr(language_id, "CHUNK", chunk)
+        present = [language_id.grams(language_id.folded(t)) for t in asked]
+        assert [len(g) for g in present] == [len(brute_grams(t)) for t in asked]
+        assert np.allclose(model.scores(present), want, atol=1e-4)
+
+
+def test_language_of_very_long_texts(spark):
+    """A megabyte of text is told as well as a line, and equal rows reach the driver once."""
+    g = random.Random(6)
+    sounds = {"xx": "ka ki ku ta ti tu".split(), "yy": "schl ung heit ver ge".split()}
+    long = {lang: "".join(g.choice(s) + g.choice(["", " "]) for _ in range(300_000)) for lang, s in sounds.items()}
+    rows = [r for r in language_rows() if r[2] != "zz"] + [(2000 + k, long[lang] + "zq!", None) for k, lang in enumerate(sounds)] + [(k, "ka ki schl", "xx") for k in range(3000, 13000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = language_id.train(df)
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(df, model).filter("doc_id between 2000 and 2001").collect()}
+    assert got == {2000: "xx", 2001: "yy"}
+
+
 def brute_model(texts, order):
     """Interpolated modified Kneser-Ney probabilities by definition."""
     top = Counter()
