@@ -11,7 +11,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,19 +72,21 @@ def numbered_runs(ordered: DataFrame, keys: list[str], kept: str) -> tuple[DataF
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = last = None
-        runs = rows = 0
+        part = runs = rows = 0
         for batch, fresh in fresh_ones(batches):
+            part = batch.column(batch.schema.get_field_index("_part"))[0].as_py()
             edge = lambda k: {c: batch.column(batch.schema.get_field_index(c))[k].as_py() for c in keys}  # noqa: B023, E731
             first, last = first or edge(0), edge(-1)
             runs, rows = runs + int(fresh.sum()), rows + batch.num_rows
         if rows:
-            yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "runs": runs, "n": rows, "first": first, "last": last}], schema=ends_schema)
+            yield pa.RecordBatch.from_pylist([{"part": part, "runs": runs, "n": rows, "first": first, "last": last}], schema=ends_schema)
 
     slim = ordered.select(*keys)
     key_type = pa.struct([pa.field(k, {"bigint": pa.int64(), "binary": pa.binary()}[slim.schema[k].dataType.simpleString()]) for k in keys])
     ends_schema = pa.schema([("part", pa.int32()), ("runs", pa.int64()), ("n", pa.int64()), ("first", key_type), ("last", key_type)])
     inner = ", ".join(f"{k}: {slim.schema[k].dataType.simpleString()}" for k in keys)
-    told = ordered.select(*keys).mapInArrow(ends, f"part int, runs long, n long, first struct<{inner}>, last struct<{inner}>").collect()  # a row a partition
+    numbered = ordered.withColumn("_part", F.spark_partition_id())
+    told = numbered.select(*keys, "_part").mapInArrow(ends, f"part int, runs long, n long, first struct<{inner}>, last struct<{inner}>").collect()  # a row a partition
     offsets, total, rows, last = {}, 0, 0, None
     for r in sorted(told, key=lambda r: r["part"]):
         offsets[r["part"]] = total - (last == r["first"])
@@ -94,14 +95,16 @@ def numbered_runs(ordered: DataFrame, keys: list[str], kept: str) -> tuple[DataF
     names = kept.split()
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = offsets.get(TaskContext.get().partitionId(), 0)
+        at = None
         for batch, fresh in fresh_ones(batches):
+            if at is None:
+                at = offsets[batch.column(batch.schema.get_field_index("_part"))[0].as_py()]
             run = at + np.cumsum(fresh)
             at = int(run[-1])
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(run)], names=[*names, "run"])
 
     schema = ", ".join(f"{c} {ordered.schema[c].dataType.simpleString()}" for c in names) + ", run long"
-    return ordered.mapInArrow(number, schema), total, rows
+    return numbered.mapInArrow(number, schema), total, rows
 
 
 def _packed(values: DataFrame, name: str, reorder: Callable[[np.ndarray], np.ndarray]) -> DataFrame:

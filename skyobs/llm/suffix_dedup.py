@@ -139,7 +139,7 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(keys[text]), pa.array(tags[text]), pa.array(p)], names=["a", "c", "k", "tag", "p"])
 
 
-#: What becomes of a context: all its windows start earlier elsewhere; some may; it has a hot anchor and is looked at apart.
+#: What becomes of a context: all its windows start earlier elsewhere; some may; it is the first of a part of those with a hot anchor.
 REPEATED, OPEN, HOT = 0, 1, 2
 
 
@@ -147,9 +147,11 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts in the order of (by, hot, c, k, tag, p), where by is the anchor of all that aren't hot.
 
     Of equal contexts, which follow each other, the first stays and the others are REPEATED. A first one is OPEN if
-    another context of its anchor comes before or after it; what has no neighbour of its anchor goes.
+    another context of its anchor comes before or after it; what has no neighbour of its anchor goes. Equal
+    contexts of a hot anchor are dealt to several parts by keys of their own; the first of each part is HOT.
     """
     names = ["kind", "a", "c", "k", "tag", "p"]
+    hot_before: tuple[int, int] | None = None
     before: tuple[int, int] | None = None  # anchor and context of the last row
     held: tuple | None = None  # the last first row, and whether it was told
     told = False
@@ -163,7 +165,13 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parts.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(rows["a"]), kind, np.int32)), *(pa.array(rows[c]) for c in names[1:])], names=names))  # noqa: B023
 
         if hot.any():
-            add(HOT, {c: v[hot] for c, v in every.items()})
+            by, c = batch.column(batch.schema.get_field_index("by")).to_numpy()[hot], every["c"][hot]
+            fresh = np.ones(len(by), bool)
+            fresh[1:] = (by[1:] != by[:-1]) | (c[1:] != c[:-1])
+            fresh[0] = hot_before != (by[0], c[0])
+            hot_before = (by[-1], c[-1])
+            add(HOT, {n: v[hot][fresh] for n, v in every.items()})
+            add(REPEATED, {n: v[hot][~fresh] for n, v in every.items()})
             every = {c: v[~hot] for c, v in every.items()}
         a, c = every["a"], every["c"]
         if len(a):
@@ -346,8 +354,8 @@ def repeated_spans(text: DataFrame) -> DataFrame:
     1. Each window is represented by its anchor; a context is a stretch of windows with one anchor. Contexts are
        dealt by anchor, each row once, and sorted there. Equal ones (64 bits of hash of the anchor and as many of
        the context) follow each other: all but the first are repeated. Contexts whose anchor no other
-       has can't hold a repeated window and go. Hot anchors, told by a sample, are dealt row by row; for
-       them aggregates and joins that spread hot keys do the same.
+       has can't hold a repeated window and go. Hot anchors, told by a sample, are dealt by anchor, context and
+       one of SALTS parts; the first contexts of the parts, few rows, then meet.
     2. Different contexts that share their anchor may still have some windows in common. Their suffixes are sorted
        by the difference-cover algorithm and neighbours' first LENGTH bytes compared: in the task that the
        anchor is dealt to, or, if it has more than TOGETHER of them, across the cluster. Equal windows have
@@ -360,8 +368,8 @@ def repeated_spans(text: DataFrame) -> DataFrame:
     seen = counts.agg(F.sum("n")).first()[0] or 0
     hot = counts.filter(F.col("n") > max(8, seen // HOT_SHARE)).select(F.col("a").alias("hot_a"))
     marked = in_batches(text, _context_rows, schema).join(F.broadcast(hot), F.col("a") == F.col("hot_a"), "left").withColumn("hot", F.col("hot_a").isNotNull())
-    # hot anchors' rows get a key each, so that they don't meet in one task
-    dealt = marked.withColumn("by", F.when(F.col("hot"), F.xxhash64("k", "tag", "p")).otherwise(F.col("a"))).select("by", "hot", *schema.replace(" long", "").split(", "))
+    # a hot anchor's rows are dealt to many tasks, those of one context to SALTS
+    dealt = marked.withColumn("by", F.when(F.col("hot"), F.xxhash64("a", "c", F.pmod(F.xxhash64("k", "tag", "p"), F.lit(SALTS)))).otherwise(F.col("a"))).select("by", "hot", *schema.replace(" long", "").split(", "))
     judged = dealt.repartition(partitions(spark), "by").sortWithinPartitions("by", "hot", "c", "k", "tag", "p").mapInArrow(_judge, f"kind int, {schema}")
     folder = shared_folder(spark, "contexts")
     judged.write.parquet(folder)
