@@ -522,14 +522,15 @@ def brute_model(texts, order):
     return p
 
 
-@pytest.mark.parametrize("broadcast_rows", [4_000_000, 0])
-def test_kneser_ney(spark, broadcast_rows):
+@pytest.mark.parametrize("block", [16 << 20, 5])
+def test_kneser_ney(spark, block, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "BLOCK_BYTES", block)
     texts = [b"the cat sat on the mat", b"a cat and a rat sat", "süß".encode(), b"tat tat tat"]
     train = spark.createDataFrame([(t.decode(),) for t in texts], "text string")
     model = kneser_ney.model_of(kneser_ney.gram_counts(train, 3), 3)
     p = brute_model(texts, 3)
     ask = ["the rat sat", "zzz", "ü", "", None]
-    got = {r.n: r.perplexity for r in kneser_ney.perplexity(spark.createDataFrame(list(enumerate(ask)), "n int, text string"), model, 3, broadcast_rows).collect()}
+    got = {r.n: r.perplexity for r in kneser_ney.perplexity(spark.createDataFrame(list(enumerate(ask)), "n int, text string"), model, 3).collect()}
     for k, t in enumerate(ask[:3]):
         raw = bytes(2) + t.encode()
         logs = [np.log(p(raw[i : i + 3])) for i in range(len(t.encode()))]
@@ -610,3 +611,40 @@ def test_threshold_is_the_held_out_quantile(spark):
         held += [r.perplexity for r in kneser_ney.perplexity(docs.filter(fold == k).select("doc_id", "text"), model).collect()]
     for r in kneser_ney.classified(docs, labels).collect():
         assert r.threshold == pytest.approx(sorted(held)[39] * np.exp(2 / np.sqrt(r.n_bytes)), rel=1e-6)
+
+
+def test_quality_by_definition(spark, monkeypatch):
+    """Perplexity, thresholds by language and kept against the definitions, in several blocks, with null and repeated ids and odd columns."""
+    monkeypatch.setattr(kneser_ney, "BLOCK_BYTES", 700)
+    monkeypatch.setattr(kneser_ney, "ENOUGH", 10)
+    g = random.Random(12)
+    words = ["".join(g.choice("etaoinsü") for _ in range(g.randint(2, 5))) for _ in range(30)]
+    rows = [(k, " ".join(g.choice(words) for _ in range(g.randint(3, 20))), ["en", "fr", None][k % 3]) for k in range(60)]
+    rows += [(None, "etao insü", "en"), (None, "@@##", "en"), (70, "%%", "fr"), (70, "ü", "fr"), (3, "another text of an id", "xx"), (71, None, "en"), (72, "", None)] + [rows[0]] * 3
+    good = {k for k in range(45)} | {70}
+    labels = spark.createDataFrame([(k, 1, 0) for k in good] + [(50, 0, 0), (51, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).withColumns({"a.b": F.lit(1), "_id": F.lit(2), "_hash": F.lit(3), "payload": F.lit(4), "block": F.lit(5)})
+    fold = {r[0]: r[1] for r in docs.select("text", F.pmod(F.xxhash64(F.xxhash64(F.coalesce("text", F.lit("")))), F.lit(2))).collect()}
+    raw = lambda t: (t or "").encode()
+    trusted = [(raw(t), fold[t], lang) for k, t, lang in rows if k in good]
+    pick = [brute_model([t for t, f, _ in trusted if f != k], 4) for k in (None, 0, 1)]
+
+    def value(p, t):
+        padded = bytes(3) + t
+        return np.exp(-np.mean([np.log(p(padded[i : i + 4])) for i in range(len(t))])) if t else None
+
+    held = defaultdict(list)
+    for t, f, lang in trusted:
+        if t:
+            held[lang].append(value(pick[f + 1], t))
+    top = lambda v: sorted(v)[max(0, int(np.ceil(0.99 * len(v))) - 1)]
+    of_all = top([x for v in held.values() for x in v])
+    want = Counter()
+    for k, t, lang in rows:
+        x = value(pick[0], raw(t))
+        limit = (top(held[lang]) if len(held[lang]) >= 10 else of_all) * np.exp(2 / np.sqrt(max(1, len(raw(t)))))
+        want[(k, lang, len(raw(t)), k in good, None if x is None else float(f"{x:.4g}"), float(f"{limit:.4g}"), bool(x is not None and x <= limit))] += 1
+    got = kneser_ney.classified(docs, labels).collect()
+    assert Counter((r.doc_id, r.lang, r.n_bytes, r.trusted, None if r.perplexity is None else float(f"{r.perplexity:.4g}"), float(f"{r.threshold:.4g}"), r.kept) for r in got) == want
+    kept = kneser_ney.keep_good(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == sum(n for r, n in want.items() if r[-1])
