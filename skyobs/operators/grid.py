@@ -126,10 +126,14 @@ def cells(spark: SparkSession, grid: Grid, only: DataFrame | None = None) -> Dat
     return unproject(placed, "x", "y").withColumn("area_km2", F.lit(grid.res**2 / 1e6))
 
 
-def inside(px: Column, py: Column, ring: Column) -> Column:
-    """Whether a point is in a ring (array of x, y structs, open or closed), by the even-odd rule."""
+def edges(ring: Column) -> Column:
+    """The edges (a, b) of a ring of x, y structs, open or closed."""
     closed = F.when(F.element_at(ring, 1) != F.element_at(ring, -1), F.concat(ring, F.slice(ring, 1, 1))).otherwise(ring)
-    edges = F.arrays_zip(F.slice(closed, F.lit(1), F.size(closed) - 1).alias("a"), F.slice(closed, F.lit(2), F.size(closed) - 1).alias("b"))
+    return F.arrays_zip(F.slice(closed, F.lit(1), F.size(closed) - 1).alias("a"), F.slice(closed, F.lit(2), F.size(closed) - 1).alias("b"))
+
+
+def inside_edges(px: Column, py: Column, ring_edges: Column) -> Column:
+    """Whether a point is inside edges, by the even-odd rule."""
 
     def crosses(e: Column) -> Column:
         a, b = e["a"], e["b"]
@@ -137,7 +141,12 @@ def inside(px: Column, py: Column, ring: Column) -> Column:
         at = (b["x"] - a["x"]) * F.try_divide(py - a["y"], b["y"] - a["y"]) + a["x"]
         return straddles & F.coalesce(px < at, F.lit(False))
 
-    return F.aggregate(edges, F.lit(False), lambda odd, e: odd != crosses(e))
+    return F.aggregate(ring_edges, F.lit(False), lambda odd, e: odd != crosses(e))
+
+
+def inside(px: Column, py: Column, ring: Column) -> Column:
+    """Whether a point is in a ring (array of x, y structs, open or closed), by the even-odd rule."""
+    return inside_edges(px, py, edges(ring))
 
 
 def index(footprints: DataFrame, grid: Grid, ring: str = "ring") -> DataFrame:
@@ -147,17 +156,42 @@ def index(footprints: DataFrame, grid: Grid, ring: str = "ring") -> DataFrame:
     Edges are straight in the projected plane; a ring across the antimeridian isn't split.
     """
     kept = footprints.columns
-    p = F.transform(F.col(ring), lambda v: F.struct(project(v["lon"], v["lat"])[0].alias("x"), project(v["lon"], v["lat"])[1].alias("y")))
-    planar = footprints.withColumn("_p", p)
-    xs, ys = F.transform("_p", lambda v: v["x"]), F.transform("_p", lambda v: v["y"])
+    return _index(footprints.withColumn("_rings", F.array(F.col(ring))), grid, "_rings", kept)
+
+
+def index_any(footprints: DataFrame, grid: Grid, rings: str = "rings") -> DataFrame:
+    """footprints' columns but the rings, with cell and weight 1: the cells whose centre lies in any of the rings, each once.
+
+    A cell is given for the first ring that it is in, so nothing has to be shuffled to find repeats.
+    """
+    return _index(footprints, grid, rings, [c for c in footprints.columns if c != rings])
+
+
+def _index(footprints: DataFrame, grid: Grid, rings: str, kept: list[str]) -> DataFrame:
     res = F.lit(float(grid.res))
     bound = lambda v, low, high: F.greatest(F.lit(low), F.least(F.lit(high), v.cast("int")))
-    c0, c1 = F.floor((F.array_min(xs) - grid.xmin) / res) + 1, F.floor((F.array_max(xs) - grid.xmin) / res) + 1
-    r0, r1 = F.floor((F.lit(grid.ymax) - F.array_max(ys)) / res) + 1, F.floor((F.lit(grid.ymax) - F.array_min(ys)) / res) + 1
-    rows = planar.withColumn("_row", F.explode(F.sequence(bound(r0, 1, grid.nrow), bound(r1, 1, grid.nrow))))
+
+    def planar(ring: Column) -> Column:
+        return F.transform(ring, lambda v: F.struct(project(v["lon"], v["lat"])[0].alias("x"), project(v["lon"], v["lat"])[1].alias("y")))
+
+    def with_bounds(ring: Column) -> Column:
+        xs, ys = F.transform(ring, lambda v: v["x"]), F.transform(ring, lambda v: v["y"])
+        return F.struct(edges(ring).alias("edges"), F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
+
+    # generators keep what stands before them from being worked out again for each candidate cell
+    named = [F.col(f"`{c}`") for c in kept]
+    flat = footprints.select(*named, F.explode(F.array(F.transform(F.col(rings), planar))).alias("_planar"))
+    every = flat.select(*named, F.explode(F.array(F.transform("_planar", with_bounds))).alias("_all"))
+    one = every.select(*named, "_all", F.posexplode("_all").alias("_k", "_ring"))
+    b = F.col("_ring")
+    c0, c1 = F.floor((b["x0"] - grid.xmin) / res) + 1, F.floor((b["x1"] - grid.xmin) / res) + 1
+    r0, r1 = F.floor((F.lit(grid.ymax) - b["y1"]) / res) + 1, F.floor((F.lit(grid.ymax) - b["y0"]) / res) + 1
+    rows = one.withColumn("_row", F.explode(F.sequence(bound(r0, 1, grid.nrow), bound(r1, 1, grid.nrow))))
     both = rows.withColumn("_col", F.explode(F.sequence(bound(c0, 1, grid.ncol), bound(c1, 1, grid.ncol))))
-    hit = both.filter(inside(grid.centre_x(F.col("_col")), grid.centre_y(F.col("_row")), F.col("_p")))
-    return hit.select(*kept, grid.cell(F.col("_col"), F.col("_row")).cast("long").alias("cell"), F.lit(1.0).alias("weight"))
+    x, y = grid.centre_x(F.col("_col")), grid.centre_y(F.col("_row"))
+    earlier = (F.col("_k") > 0) & F.exists(F.slice("_all", F.lit(1), F.col("_k")), lambda r: inside_edges(x, y, r["edges"]))
+    hit = both.filter(x.between(b["x0"], b["x1"]) & y.between(b["y0"], b["y1"]) & inside_edges(x, y, b["edges"]) & ~earlier)
+    return hit.select(*named, grid.cell(F.col("_col"), F.col("_row")).cast("long").alias("cell"), F.lit(1.0).alias("weight"))
 
 
 def box_ring(lon0: Column, lat0: Column, width: float, height: float) -> Column:

@@ -11,6 +11,8 @@ from skyobs.operators import grid as g
 from skyobs.operators.availability import gaps
 from skyobs.operators.simulate import rounded
 from skyobs.operators.statistics import vocabulary
+from skyobs.plans import availability
+from skyobs.plans.spatial import q_sql
 from skyobs.sources import driver_tables as dt
 from skyobs.sources import sinks, stac
 
@@ -49,14 +51,22 @@ def markov_transitions(spark: SparkSession, d: str) -> DataFrame:
     return t.select("p", "n", p11.alias("p11"), p01.alias("p01"))
 
 
-@query("sensor_registry")
+@query("sensor_registry", """SELECT * FROM (VALUES ('landsat-8-9-oli', 'Landsat 8/9 OLI-TIRS', 'wrs2', 16.0::DOUBLE, 9::INT, 2::INT, true, true, 'bitmask'), ('landsat-4-7-tm-etm', 'Landsat 4/5 TM and Landsat 7 ETM+', 'wrs2', 16.0, 7, 3, true, false, 'bitmask'),
+ ('sentinel-2-msi', 'Sentinel-2 MSI', 'mgrs', 10.0, 13, 3, false, true, 'categorical'), ('modis-mod09ga', 'MODIS Terra/Aqua surface reflectance (MOD09GA/MYD09GA)', 'sinusoidal', 1.0, 7, 2, false, false, 'bitmask'),
+ ('generic-multispectral', 'Generic multispectral raster (UAV, PlanetScope, WorldView, SPOT)', 'none', NULL, 4, 0, false, false, NULL)) t(id, name, footprint, revisit, n_bands, n_platforms, has_thermal, has_cirrus, qa)""")
 def sensor_registry(spark: SparkSession, d: str) -> DataFrame:
     return sensors.sensors(spark)
 
 
-@query("method_registry")
+@query("method_registry", """SELECT * FROM (VALUES ('threshold', 'physical', 'blue,green,red', 'nir,swir16', 'brightness and whiteness'),
+ ('fmask', 'physical', 'blue,green,red,nir,swir16,swir22', 'cirrus,tir1', 'decision cascade after Zhu and Woodcock'),
+ ('qa', 'physical', '', '', 'the producer''s quality layer'),
+ ('s2cloudless', 'learned', 'blue,red,nir', '', 'needs a model'),
+ ('randomforest', 'learned', 'blue,red,nir', '', 'needs a model'),
+ ('xgboost', 'learned', 'blue,red,nir', '', 'needs a model'),
+ ('unet', 'learned', 'blue,red,nir', '', 'needs a model')) t(name, kind, requires, optional, reference)""")
 def method_registry(spark: SparkSession, d: str) -> DataFrame:
-    return detect.methods(spark)
+    return detect.methods(spark).select("name", "kind", F.array_join("requires", ",").alias("requires"), F.array_join("optional", ",").alias("optional"), "reference")
 
 
 @query("sim_series")
@@ -111,11 +121,31 @@ def stac_items_summary(spark: SparkSession, d: str) -> DataFrame:
     return stac.items_summary(stac.items(features(spark, d), "sentinel-2-msi")).select("n_items", "median_cloud")
 
 
-@query("items_to_obs")
+_GRID = g.Grid.over(100_000)
+_CENTRE_X, _CENTRE_Y = f"(CAST({_GRID.xmin!r} AS DOUBLE) + (col - CAST(0.5 AS DOUBLE))*{_GRID.res})", f"(CAST({_GRID.ymax!r} AS DOUBLE) - (row - CAST(0.5 AS DOUBLE))*{_GRID.res})"
+
+
+@query("items_to_obs", f"""WITH f AS (SELECT CAST(o_orderdate AS DATE) AS date, CAST(o_orderkey % 101 AS DOUBLE)/100 AS cf, CAST(o_custkey*37 % 358 - 180 AS DOUBLE) AS lon0, CAST(o_custkey*13 % 140 - 70 AS DOUBLE) AS lat0 FROM orders WHERE o_orderkey % 50 <> 0),
+b AS (SELECT date, cf, radians(lon0)*CAST({g.A * g.K0!r} AS DOUBLE) AS x0, radians(lon0 + 1)*CAST({g.A * g.K0!r} AS DOUBLE) AS x1, {q_sql('lat0')}*CAST({g.A / (2 * g.K0)!r} AS DOUBLE) AS y0, {q_sql('(lat0 + 1)')}*CAST({g.A / (2 * g.K0)!r} AS DOUBLE) AS y1 FROM f),
+r AS (SELECT *, unnest(generate_series(CAST(floor((CAST({_GRID.ymax!r} AS DOUBLE) - y1)/{_GRID.res}) AS BIGINT), CAST(floor((CAST({_GRID.ymax!r} AS DOUBLE) - y0)/{_GRID.res}) AS BIGINT) + 1)) AS row FROM b),
+c AS (SELECT *, unnest(generate_series(CAST(floor((x0 - CAST({_GRID.xmin!r} AS DOUBLE))/{_GRID.res}) AS BIGINT), CAST(floor((x1 - CAST({_GRID.xmin!r} AS DOUBLE))/{_GRID.res}) AS BIGINT) + 1)) AS col FROM r)
+SELECT CAST((row - 1)*{_GRID.ncol} + col AS BIGINT) AS cell, date, 'sentinel-2-msi' AS sensor, 'sentinel-2a' AS platform, round(cf, 6) AS cloud_fraction, CAST(NULL AS DOUBLE) AS shadow_fraction, CAST(NULL AS DOUBLE) AS snow_fraction, 'metadata' AS tier
+FROM c WHERE {_CENTRE_X} > x0 AND {_CENTRE_X} < x1 AND {_CENTRE_Y} > y0 AND {_CENTRE_Y} < y1""")
 def items_to_obs(spark: SparkSession, d: str) -> DataFrame:
-    return stac.to_observations(stac.items(features(spark, d), "sentinel-2-msi"), g.Grid.over(100_000), strict=False)
+    return stac.to_observations(stac.items(features(spark, d), "sentinel-2-msi"), _GRID, strict=False)
+
+
+_FEATURE = "properties struct<v: double, cell: long, n: long>, geometry struct<type: string, coordinates: array<array<array<double>>>>"
 
 
-@query("explore_geojson")
+@query("explore_geojson", availability.SQL["gaps_year"].replace("SELECT * FROM gaps", f"""SELECT cell, CAST(max_gap_days AS DOUBLE) AS v, n, 'Polygon' AS kind, CAST(5 AS INT) AS n_points,
+ CAST(round(greatest(CAST({-g.X_MAX!r} AS DOUBLE), CAST({_GRID.xmin!r} AS DOUBLE) + ((cell - 1) % {_GRID.ncol})*{_GRID.res})/1000) AS BIGINT) AS west_km, CAST(round(least(CAST({g.X_MAX!r} AS DOUBLE), CAST({_GRID.xmin!r} AS DOUBLE) + ((cell - 1) % {_GRID.ncol} + 1)*{_GRID.res})/1000) AS BIGINT) AS east_km,
+ CAST(round((CAST({_GRID.ymax!r} AS DOUBLE) - (floor((cell - 1)/{_GRID.ncol}) + 1)*{_GRID.res})/1000) AS BIGINT) AS south_km FROM gaps"""))
 def explore_geojson(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.geo_features(gaps(dt.obs(spark, d), "year").filter("metric = 'max_gap_days' and period = '1997'"), g.Grid.over(100_000))
+    """GeoJSON of all cells and years, parsed and projected again."""
+    text = sinks.geo_features(gaps(dt.obs(spark, d), "year").filter("metric = 'max_gap_days'"), _GRID)
+    f, ring = F.col("f"), F.col("f.geometry.coordinates")[0]
+    parsed = text.select(F.explode(F.array(F.from_json("value", _FEATURE))).alias("f")).select(f["properties"]["cell"].alias("cell"), f["properties"]["v"].alias("v"), f["properties"]["n"].alias("n"), f["geometry"]["type"].alias("kind"), ring.alias("ring"))
+    corner = lambda k: g.project(F.col("ring")[k][0], F.col("ring")[k][1])
+    km = lambda v: F.round(v / 1000).cast("long")
+    return parsed.select("cell", "v", "n", "kind", F.size("ring").alias("n_points"), km(corner(0)[0]).alias("west_km"), km(corner(2)[0]).alias("east_km"), km(corner(0)[1]).alias("south_km"))

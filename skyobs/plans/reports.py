@@ -77,13 +77,23 @@ def clustering_ratio(spark: SparkSession, d: str) -> DataFrame:
     return u.groupBy("period").agg(((F.sum("b") - F.sum("a")) / F.sum("a") * 100).alias("pct_change"), F.try_divide(F.count_if(F.col("b") < 6).cast("double"), F.count_if(F.col("a") < 6)).alias("failure_ratio"))
 
 
-@query("cross_sensor_test")
+_Z = "CAST(1.959963984540054 AS DOUBLE)"
+
+
+@query("cross_sensor_test", f"""WITH {_OBS}, c AS (SELECT cell, year(date) AS y, avg(cloud_fraction) FILTER (WHERE sensor LIKE 'landsat%') AS a, avg(cloud_fraction) FILTER (WHERE sensor LIKE 'sentinel%') AS b FROM obs GROUP BY 1, 2),
+s AS (SELECT count(*) AS n, corr(a, b) AS r, avg(a - b) AS m, stddev_samp(a - b) AS sd FROM c WHERE a IS NOT NULL AND b IS NOT NULL),
+t AS (SELECT *, n - 1 AS v, {_Z} AS z, atanh(r) AS fz, {_Z}/sqrt(n - 3) AS w FROM s),
+q AS (SELECT *, (z + (pow(z,3) + z)/(4*v) + (5*pow(z,5) + 16*pow(z,3) + 3*z)/(96*pow(v,2)) + (3*pow(z,7) + 19*pow(z,5) + 17*pow(z,3) - 15*z)/(384*pow(v,3)))*sd/sqrt(n) AS half FROM t)
+SELECT n, round(m, 4) AS mean_diff, round(m - half, 4) AS low, round(m + half, 4) AS high, round(r, 4) AS r, round((exp(2*(fz - w)) - 1)/(exp(2*(fz - w)) + 1), 4) AS r_low, round((exp(2*(fz + w)) - 1)/(exp(2*(fz + w)) + 1), 4) AS r_high FROM q""")
 def cross_sensor_test(spark: SparkSession, d: str) -> DataFrame:
     """Paired difference of mean cloud between two sensors: t interval and the interval of the correlation (Fisher)."""
     mean = lambda name: F.avg(F.when(F.col("sensor").startswith(name), F.col("cloud_fraction")))
     c = dt.obs(spark, d).groupBy("cell", period(F.col("date"), "year").alias("period")).agg(mean("landsat").alias("a"), mean("sentinel").alias("b")).dropna(subset=["a", "b"])
     diff = F.col("a") - F.col("b")
     s = c.agg(F.count(F.lit(1)).alias("n"), F.corr("a", "b").alias("r"), F.avg(diff).alias("m"), F.stddev_samp(diff).alias("sd")).first()
-    half = special.t_quantile(0.975, s["n"] - 1) * s["sd"] / math.sqrt(s["n"])
-    z, w = math.atanh(s["r"]), 1.959963984540054 / math.sqrt(s["n"] - 3)
-    return spark.createDataFrame([(s["n"], s["m"], s["m"] - half, s["m"] + half, s["r"], math.tanh(z - w), math.tanh(z + w))], "n long, mean_diff double, low double, high double, r double, r_low double, r_high double")
+    n, r = s["n"], s["r"]  # one row; intervals are null where there are too few pairs, or no spread, for them
+    half = special.t_quantile(0.975, n - 1) * s["sd"] / math.sqrt(n) if n > 1 else None
+    bounds = (None, None) if half is None else (s["m"] - half, s["m"] + half)
+    known = n > 3 and r is not None and math.isfinite(r) and abs(r) < 1
+    z, w = (math.atanh(r), 1.959963984540054 / math.sqrt(n - 3)) if known else (0.0, 0.0)
+    return spark.createDataFrame([(n, s["m"], *bounds, r, math.tanh(z - w) if known else None, math.tanh(z + w) if known else None)], "n long, mean_diff double, low double, high double, r double, r_low double, r_high double")

@@ -100,10 +100,11 @@ def harvest_ownership(spark: SparkSession, d: str) -> DataFrame:
     return harvest.owned(dt.points(spark, d)).select("id", "tile_col", "tile_row")
 
 
-@query("harvest_resume_anti", f"WITH {_TILES}, done AS (SELECT DISTINCT CAST(floor((lon + 180)/10) AS BIGINT)*100 + CAST(floor((lat + 60)/10) AS BIGINT) AS band FROM (SELECT {dt.PTS} FROM customer WHERE c_custkey < 300) p WHERE lat >= -60 AND lat < 80) SELECT tile_id FROM tiles WHERE CAST((west + 180)/10 AS BIGINT)*100 + CAST((south + 60)/10 AS BIGINT) NOT IN (SELECT band FROM done)")
+@query("harvest_resume_anti", f"WITH {_TILES}, done AS (SELECT CAST(floor((lon + 180)/10) AS BIGINT)*100 + CAST(floor((lat + 60)/10) AS BIGINT) AS band FROM (SELECT {dt.PTS} FROM customer) p WHERE lat >= -60 AND lat < 80 GROUP BY 1 HAVING count(*) % 2 = 1) SELECT tile_id FROM tiles WHERE CAST((west + 180)/10 AS BIGINT)*100 + CAST((south + 60)/10 AS BIGINT) NOT IN (SELECT band FROM done)")
 def harvest_resume_anti(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles that are left when those with an odd number of points are done."""
     tiles = harvest_tiles(spark, d)
-    seen = harvest.owned(dt.points(spark, d).filter("id < 300")).select("tile_col", "tile_row").distinct()
+    seen = harvest.owned(dt.points(spark, d)).groupBy("tile_col", "tile_row").agg(F.count(F.lit(1)).alias("n")).filter("n % 2 = 1")
     keyed = tiles.withColumn("tile_col", ((F.col("west") + 180) / 10).cast("long")).withColumn("tile_row", ((F.col("south") + 60) / 10).cast("long"))
     return harvest.remaining(keyed, seen, ["tile_col", "tile_row"]).select("tile_id")
 

@@ -34,7 +34,7 @@ PROPERTIES = {
     "datetime": "string", "start_datetime": "string", "platform": "string", "eo:cloud_cover": "double", "landsat:cloud_cover_land": "double", "landsat:wrs_path": "string", "landsat:wrs_row": "string",
     "view:sun_elevation": "double", "view:sun_azimuth": "double", "view:off_nadir": "double", "mgrs:utm_zone": "int", "mgrs:latitude_band": "string", "mgrs:grid_square": "string",
 }
-FEATURE = f"id string, collection string, properties struct<{', '.join(f'`{k}`: {v}' for k, v in PROPERTIES.items())}>, assets map<string, struct<href: string, type: string>>"
+FEATURE = f"id string, collection string, properties struct<{', '.join(f'`{k}`: {v}' for k, v in PROPERTIES.items())}>, assets map<string, struct<href: string, type: string>>, geometry struct<type: string, coordinates: string>"
 
 
 def backend(name: str | None = None) -> Backend:
@@ -76,28 +76,28 @@ def mgrs_tile(zone: Column, band: Column, square: Column) -> Column:
     return F.concat(F.lpad(zone.cast("string"), 2, "0"), band, square)
 
 
-def rings(feature: Column) -> Column:
-    """Exterior rings of a feature's polygon or multipolygon, as arrays of lon and lat; null for other types. Holes are left out."""
-    kind, text = F.get_json_object(feature, "$.geometry.type"), F.get_json_object(feature, "$.geometry.coordinates")
-    point = lambda v: F.struct(v[0].alias("lon"), v[1].alias("lat"))
-    one = F.from_json(F.when(kind == "Polygon", text), "array<array<array<double>>>")
-    many = F.from_json(F.when(kind == "MultiPolygon", text), "array<array<array<array<double>>>>")
-    return F.when(kind == "Polygon", F.array(F.transform(one[0], point))).when(kind == "MultiPolygon", F.transform(many, lambda p: F.transform(p[0], point)))
+def rings(geometry: Column) -> Column:
+    """Exterior rings of a geometry (type, and coordinates as text), as arrays of lon and lat; null for other types than polygons. Holes are left out."""
+    kind, text = geometry["type"], geometry["coordinates"]
+    polygons = F.from_json(F.when(kind == "Polygon", F.concat(F.lit("["), text, F.lit("]"))).when(kind == "MultiPolygon", text), "array<array<array<array<double>>>>")
+    return F.transform(polygons, lambda p: F.transform(p[0], lambda v: F.struct(v[0].alias("lon"), v[1].alias("lat"))))
 
 
 def items(features: DataFrame, sensor: str, column: str = "feature") -> DataFrame:
     """A row for each JSON feature: id, datetime, sensor, platform, cloud covers in percent, angles, path, row, tile, rings, assets.
 
-    Parsing is one projection. The start stands in for a missing time, the zenith comes from the elevation.
+    Each feature is parsed once: a generator stands between the parsing and the fields, so that no projection
+    repeats it. The start stands in for a missing time, the zenith comes from the elevation.
     """
-    f = F.from_json(F.col(column), FEATURE)
+    parsed = features.select(F.explode(F.array(F.from_json(F.col(column), FEATURE))).alias("_f"))
+    f = F.col("_f")
     p = lambda name: f["properties"][name]
     when = F.coalesce(p("datetime"), p("start_datetime"))
-    return features.select(
+    return parsed.select(
         f["id"].alias("id"), F.try_to_timestamp(when).alias("datetime"), F.lit(sensors.sensor(sensor).id).alias("sensor"), p("platform").alias("platform"),
         p("eo:cloud_cover").alias("cloud_cover"), p("landsat:cloud_cover_land").alias("cloud_cover_land"), (F.lit(90.0) - p("view:sun_elevation")).alias("sun_zenith"), p("view:sun_azimuth").alias("sun_azimuth"),
         p("view:off_nadir").alias("view_zenith"), p("landsat:wrs_path").try_cast("int").alias("path"), p("landsat:wrs_row").try_cast("int").alias("row"),
-        mgrs_tile(p("mgrs:utm_zone"), p("mgrs:latitude_band"), p("mgrs:grid_square")).alias("tile"), rings(F.col(column)).alias("rings"), f["assets"].alias("assets"),
+        mgrs_tile(p("mgrs:utm_zone"), p("mgrs:latitude_band"), p("mgrs:grid_square")).alias("tile"), rings(f["geometry"]).alias("rings"), f["assets"].alias("assets"),
     )
 
 
@@ -117,6 +117,5 @@ def to_observations(table: DataFrame, grid: g.Grid, strict: bool = True) -> Data
             warn(f"{n['without']} of {n['n']} items have no cloud cover and were left out")
         if n["n"] == n["without"]:
             raise ValueError("no item has a cloud cover")
-    feet = known.select("id", "datetime", "sensor", "platform", "cloud_cover", F.explode("rings").alias("ring"))
-    hit = g.index(feet, grid).dropDuplicates(["id", "cell"])
+    hit = g.index_any(known.select("id", "datetime", "sensor", "platform", "cloud_cover", "rings"), grid)
     return hit.select("cell", F.to_date("datetime").alias("date"), "sensor", "platform", (F.col("cloud_cover") / 100).alias("cloud_fraction"), F.lit(None).cast("double").alias("shadow_fraction"), F.lit(None).cast("double").alias("snow_fraction"), F.lit("metadata").alias("tier"))
