@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -126,6 +129,11 @@ def fit(doy: np.ndarray, value: np.ndarray, model: str = "dbl_logistic", thresho
         pred = curve(GRID, p)
     else:
         raise ValueError("model is dbl_logistic or spline")
+    return _season(pred, threshold)
+
+
+def _season(pred: np.ndarray, threshold: float) -> Fit:
+    """Crossings of a fitted curve over GRID."""
     low, high = pred.min(), pred.max()
     if not np.isfinite(high - low) or high - low < 1e-6:
         return Fit()
@@ -134,42 +142,159 @@ def fit(doy: np.ndarray, value: np.ndarray, model: str = "dbl_logistic", thresho
     return Fit(float(before[-1] + 2) if len(before) else None, float(peak + 1 + after[0]) if len(after) else None, peak + 1, float(high), True)
 
 
+def least_squares_many(doy: np.ndarray, value: np.ndarray, seen: np.ndarray, start: np.ndarray, steps: int = 200, tol: float = 1e-8) -> tuple[np.ndarray, np.ndarray]:
+    """least_squares of many series at once: rows of doy and value, where seen; starts are rows, too. Returns parameters and which converged.
+
+    Each series has its own damping and stops by itself; those that are done leave the arrays.
+    """
+    p, done = np.clip(start, LOWER, UPPER), np.zeros(len(start), bool)
+    live = np.arange(len(start))
+
+    def residual(q: np.ndarray, of: np.ndarray) -> np.ndarray:
+        return np.where(seen[of], value[of] - _curves(doy[of], q), 0.0)
+
+    r = residual(p, live)
+    cost, damp, moves = np.einsum("it,it->i", r, r), np.full(len(start), 1e-3), np.zeros(len(start), int)
+    h, g = np.zeros((len(start), 6, 6)), np.zeros((len(start), 6))
+    stale = live
+    while len(live):
+        if len(stale):
+            j = np.where(seen[stale][:, :, None], _jacobians(doy[stale], p[stale]), 0.0)
+            g[stale], h[stale] = np.einsum("itk,it->ik", j, r[stale]), np.einsum("itk,itl->ikl", j, j)
+            held = ((p[stale] <= LOWER) & (g[stale] < 0)) | ((p[stale] >= UPPER) & (g[stale] > 0))
+            g[stale] = np.where(held, 0.0, g[stale])
+            h[stale] = np.where(held[:, :, None] | held[:, None, :], 0.0, h[stale])
+            done[stale[np.abs(g[stale]).max(axis=1) < 1e-12]] = True
+            live = live[~done[live]]
+        diagonal = np.einsum("ikk->ik", h[live])
+        ridge = np.where(diagonal > 0, damp[live][:, None] * np.maximum(diagonal, 1e-12), 1.0)
+        step = np.linalg.solve(h[live] + ridge[:, :, None] * np.eye(6), g[live][:, :, None])[:, :, 0]
+        q = np.clip(p[live] + step, LOWER, UPPER)
+        rq = residual(q, live)
+        new = np.einsum("it,it->i", rq, rq)
+        better = new < cost[live]
+        small = better & ((cost[live] - new <= tol * (cost[live] + 1e-300)) | (np.abs(q - p[live]) <= tol * (np.abs(p[live]) + tol)).all(axis=1))
+        moved, stuck = live[better], live[~better]
+        p[moved], r[moved], cost[moved] = q[better], rq[better], new[better]
+        damp[moved] = np.maximum(damp[moved] / 5, 1e-12)
+        moves[moved] += 1
+        damp[stuck] *= 4
+        done[live[small]] = done[stuck[damp[stuck] >= 1e12]] = True  # the latter: no step lowers the cost any more
+        live = live[~done[live] & (moves[live] < steps)]
+        stale = moved[np.isin(moved, live)]
+    return p, done
+
+
+def _curves(doy: np.ndarray, p: np.ndarray) -> np.ndarray:
+    return curve(doy, p.T[:, :, None])
+
+
+def _jacobians(doy: np.ndarray, p: np.ndarray) -> np.ndarray:
+    base, amp, sos, eos, up, down = p.T[:, :, None]
+    a, b = (1 / (1 + np.exp(-np.clip(z, -700, 700))) for z in (up * (doy - sos), down * (doy - eos)))
+    da, db = a * (1 - a), b * (1 - b)
+    return np.stack([np.ones_like(doy), a - b, -amp * up * da, amp * down * db, amp * (doy - sos) * da, -amp * (doy - eos) * db], axis=2)
+
+
+def fit_many(doy: np.ndarray, value: np.ndarray, seen: np.ndarray, model: str = "dbl_logistic", threshold: float = 0.5) -> list[Fit]:
+    """fit of each row of doy and value, where seen; curves are fitted together, splines one by one."""
+    if model != "dbl_logistic":
+        return [fit(d[k], v[k], model, threshold) for d, v, k in zip(doy, value, seen, strict=True)]
+    out = [Fit()] * len(doy)
+    seen = seen & np.isfinite(doy) & np.isfinite(value)
+    able = np.flatnonzero(seen.sum(axis=1) >= 6)
+    if not len(able):
+        return out
+    low, high = np.array([np.quantile(value[i][seen[i]], [0.1, 0.9]) for i in able]).T
+    start = np.column_stack([low, high - low, *(np.full(len(able), x) for x in (110.0, 290.0, 0.1, 0.1))])
+    p, done = least_squares_many(np.where(seen, doy, 0.0)[able], np.where(seen, value, 0.0)[able], seen[able], start)
+    for i, q, ok in zip(able, p, done, strict=True):
+        if ok:
+            out[i] = _season(curve(GRID, q), threshold)
+    return out
+
+
 def usable(rng: np.random.Generator, cf: np.ndarray, threshold: float, rho: float) -> np.ndarray:
     """Which dates can be used: clear ones always; cloudy ones as a persistent chain leaves gaps."""
-    u, out = rng.random(len(cf) + 1), np.zeros(len(cf), bool)
-    cloudy = u[-1] < cf.mean()
-    for i, c in enumerate(cf):
-        cloudy = False if c <= threshold else u[i] < (c + (1 - c) * rho if cloudy else c * (1 - rho))
-        out[i] = not cloudy
+    return usable_many([rng], cf, threshold, rho)[0]
+
+
+def usable_many(rngs: list[np.random.Generator], cf: np.ndarray, threshold: float, rho: float) -> np.ndarray:
+    """usable for each of several generators: a row each; the chains go through the dates side by side."""
+    u = np.array([g.random(len(cf) + 1) for g in rngs])
+    cloudy, out = u[:, -1] < cf.mean() if len(cf) else np.zeros(len(rngs), bool), np.zeros((len(rngs), len(cf)), bool)
+    stay, turn = cf + (1 - cf) * rho, cf * (1 - rho)
+    for i in range(len(cf)):
+        cloudy = u[:, i] < np.where(cloudy, stay[i], turn[i]) if cf[i] > threshold else np.zeros(len(rngs), bool)
+        out[:, i] = ~cloudy
     return out
 
 
 REPLICATES = "cell long, rep int, n_acquisitions int, n_usable int, reference_sos double, reference_eos double, sos double, eos double, los double, ok boolean"
 
 
-def replicates(obs: DataFrame, n_sim: int = 100, threshold: float = 0.2, noise: float = 0.03, model: str = "dbl_logistic", rho: float = 0.35, curve_params=CURVE, seed: int = 1, block: int = 25) -> DataFrame:
+def replicates(
+    obs: DataFrame, n_sim: int = 100, threshold: float = 0.2, noise: float = 0.03, model: str = "dbl_logistic", rho: float = 0.35, curve_params=CURVE, seed: int = 1, block: int = 25,
+    true_curve: Callable[[np.ndarray], np.ndarray] | None = None,
+) -> DataFrame:
     """Retrievals of obs(cell, date, cloud_fraction) under simulated loss and noise.
 
-    Replicates are dealt in blocks, so a cell with many of them keeps several tasks busy; each draws from
-    the seed, its cell and its number.
+    The truth is true_curve(day of year) or, without it, the default form with curve_params. A cell's dates are
+    gathered to one row; its replicates are dealt in blocks, so a cell with many of them keeps several tasks
+    busy, and a block's curves are fitted together. Each replicate draws from the seed, its cell and its number.
     """
-    reference = fit(GRID, curve(GRID, curve_params), model)
+    truth = true_curve or functools.partial(curve, p=curve_params)
+    reference = fit(GRID, truth(GRID), model)
     if not reference.converged:
         raise ValueError("the reference curve can't be fitted")
-    dealt = obs.select(F.col("cell").cast("long").alias("cell"), "date", "cloud_fraction").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((n_sim - 1) // block))))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        doy, cf = pd.to_datetime(pdf["date"]).dt.dayofyear.to_numpy(float), pdf["cloud_fraction"].to_numpy(float)
-        rows = []
-        for rep in range(key[1] * block, min(n_sim, (key[1] + 1) * block)):
-            g = special.rng(seed, int(key[0]), rep)
-            d = doy[usable(g, cf, threshold, rho)]
-            f = fit(d, curve(d, curve_params) + g.normal(0, noise, len(d)), model) if len(d) >= 6 else Fit()
-            rows.append((key[0], rep, len(doy), len(d), reference.sos, reference.eos, f.sos, f.eos, f.los, f.converged and f.sos is not None))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in REPLICATES.split(", ")])
-
-    return dealt.groupBy("cell", "block").applyInPandas(run, REPLICATES)
+    rows = obs.select(F.col("cell").cast("long").alias("cell"), F.struct("date", F.dayofyear("date").cast("double").alias("doy"), F.col("cloud_fraction").cast("double").alias("cf")).alias("seen"))
+    cells = rows.groupBy("cell").agg(F.sort_array(F.collect_list("seen")).alias("seen")).select("cell", F.col("seen.doy").alias("doy"), F.col("seen.cf").alias("cf"))
+    blocks = cells.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((n_sim - 1) // block))))
+    dealt = blocks.repartition(blocks.sparkSession.sparkContext.defaultParallelism * 4, "cell", "block")
+
+    def one(cell: int, doy: np.ndarray, cf: np.ndarray, reps: range) -> list[tuple]:
+        rngs = [special.rng(seed, cell, rep) for rep in reps]
+        seen, exact = usable_many(rngs, cf, threshold, rho), truth(doy)
+        value = np.zeros(seen.shape)
+        for k, g in enumerate(rngs):
+            value[k, seen[k]] = exact[seen[k]] + g.normal(0, noise, int(seen[k].sum()))
+        fits = fit_many(np.broadcast_to(doy, seen.shape), value, seen, model)
+        return [(cell, rep, len(doy), int(n), reference.sos, reference.eos, f.sos, f.eos, f.los, f.converged and f.sos is not None) for rep, n, f in zip(reps, seen.sum(axis=1), fits, strict=True)]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples():
+                made = one(int(r.cell), np.asarray(r.doy, float), np.asarray(r.cf, float), range(r.block * block, min(n_sim, (r.block + 1) * block)))
+                yield pd.DataFrame(made, columns=[c.split()[0] for c in REPLICATES.split(", ")])
+
+    return dealt.mapInPandas(run, REPLICATES)
+
+
+def fit_series(series: DataFrame, keys: list[str], doy: str = "doy", value: str = "value", model: str = "dbl_logistic", threshold: float = 0.5) -> DataFrame:
+    """keys, sos, eos, los, peak_doy, peak_value and converged: the fit of each observed series of day of year and value.
+
+    A group's rows are gathered to one row of two arrays, sorted by day; series of one batch are fitted together.
+    Nulls are left out. A series with under six values isn't fitted.
+    """
+    at = F.struct(F.col(doy).cast("double").alias("d"), F.col(value).cast("double").alias("v"))
+    rows = series.filter(F.col(doy).isNotNull() & F.col(value).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list(at)).alias("_s"))
+    slim = rows.select(*keys, F.col("_s.d").alias("_d"), F.col("_s.v").alias("_v"))
+    names = ["sos", "eos", "los", "peak_doy", "peak_value", "converged"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[: len(keys)]) + ", sos double, eos double, los double, peak_doy int, peak_value double, converged boolean"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 64):
+                batch = whole.slice(start, 64)
+                days, values = (batch.column(len(keys) + k).to_pylist() for k in (0, 1))
+                width = max(map(len, days))
+                padded = [np.array([x + [0.0] * (width - len(x)) for x in part]) for part in (days, values)]
+                seen = np.arange(width) < np.array([len(x) for x in days])[:, None]
+                found = [(f.sos, f.eos, f.los, f.peak_doy, f.peak_value, f.converged) for f in fit_many(*padded, seen, model, threshold)]
+                types = [pa.float64()] * 3 + [pa.int32(), pa.float64(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *(pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True))], names=[*keys, *names])
+
+    return slim.mapInArrow(run, schema)
 
 
 def power(reps: DataFrame) -> DataFrame:

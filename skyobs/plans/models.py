@@ -92,10 +92,13 @@ def pheno_map(spark: SparkSession, d: str) -> DataFrame:
 
 @query("pheno_fit")
 def pheno_fit(spark: SparkSession, d: str) -> DataFrame:
-    import numpy as np
+    """Fits, by both models, of each cell and year: the default curve at the cell's clear dates, raised a little by the cell."""
+    from skyobs.functions.exprs import pheno_curve as curve
 
-    rows = [(m, *(None if v is None else float(v) for v in (f.sos, f.eos, f.los)), f.converged) for m in ("dbl_logistic", "spline") for f in [phenology.fit(phenology.GRID, np.asarray(phenology.curve(phenology.GRID)), m)]]
-    return spark.createDataFrame(rows, "model string, sos double, eos double, los double, converged boolean")
+    clear = dt.obs(spark, d).filter("cloud_fraction <= 0.2")
+    seen = clear.select("cell", F.year("date").alias("year"), F.dayofyear("date").alias("doy")).withColumn("value", curve(F.col("doy")) + F.col("cell") % 5 / 100)
+    fits = [phenology.fit_series(seen, ["cell", "year"], model=m).withColumn("model", F.lit(m)) for m in ("dbl_logistic", "spline")]
+    return fits[0].unionByName(fits[1])
 
 
 def features(spark: SparkSession, d: str) -> DataFrame:

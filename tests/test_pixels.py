@@ -135,6 +135,32 @@ def test_comparison(spark):
         assert all(r["lower"] <= r["accuracy"] <= r["upper"] for r in found.summary)
 
 
+def test_fits_of_many_series_at_once():
+    g = np.random.default_rng(3)
+    doy, seen = np.sort(g.uniform(1, 365, (40, 60)), axis=1), g.random((40, 60)) < 0.5
+    seen[0] = False
+    value = np.array([phenology.curve(d, (0.1, 0.5, g.uniform(80, 150), g.uniform(230, 300), 0.1, 0.1)) for d in doy]) + g.normal(0, 0.03, doy.shape)
+    many = phenology.fit_many(doy, value, seen)
+    alone = [phenology.fit(d[k], v[k]) for d, v, k in zip(doy, value, seen)]
+    assert [f.converged for f in many] == [f.converged for f in alone] and not many[0].converged
+    assert sum(a.sos == b.sos and a.eos == b.eos for a, b in zip(many, alone)) >= 38
+
+
+def test_fits_of_observed_series(spark):
+    rows = [(k, float(d), float(phenology.curve(np.array([d]), (0.1, 0.5, 90 + 10 * k, 260, 0.1, 0.1))[0])) for k in range(5) for d in range(5, 360, 9)]
+    rows += [(9, 5.0, 1.0), (9, None, 1.0), (2, 100.0, None)]
+    df = spark.createDataFrame(rows, "cell int, doy double, value double")
+    for model, near in (("dbl_logistic", 1.5), ("spline", 12)):
+        got = {r.cell: r for r in phenology.fit_series(df, ["cell"], model=model).collect()}
+        assert not got[9].converged and all(abs(got[k].sos - (90 + 10 * k)) <= near and got[k].converged for k in range(5))
+
+
+def test_power_of_a_curve_of_ones_own(spark):
+    obs = spark.sql("SELECT 1 AS cell, date_add(DATE'2020-01-01', CAST(id * 5 AS INT)) AS date, 0.0 AS cloud_fraction FROM range(73)")
+    got = phenology.power(phenology.replicates(obs, n_sim=10, noise=0.001, true_curve=lambda d: 0.2 + 0.4 * np.exp(-(((d - 180) / 50) ** 2)))).first()
+    assert got.failure_rate == 0 and got.sos_mae < 4 and 110 < got.reference_sos < 160
+
+
 def test_phenology():
     for model in ("dbl_logistic", "spline"):
         f = phenology.fit(phenology.GRID, phenology.curve(phenology.GRID), model)
