@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyobs.llm.components import components
-from skyobs.llm.runtime import checkpointed, fresh, in_batches, named, spread_join
+from skyobs.llm.runtime import checkpointed, in_batches, named, spread_join
 
 #: Words in a shingle, seed of the hash, most differing bits of a link.
 SHINGLE, SEED, BITS = 3, 42, 3
@@ -27,6 +27,9 @@ CHUNK = 1 << 14
 NEAR_SHINGLE, SIMILAR = 5, (4, 5)
 #: Lists that a text stands in, minima that make a list, shingles that are hashed BANDS * BAND times at once.
 BANDS, BAND, MINED = 30, 6, 1 << 12
+#: Most rounds in which the members of a list are compared with one of them, before those still apart are compared pairwise;
+#: pairs for each member from which on another such round comes first; pairs with one text that go to one task.
+ROUNDS, DENSE, TOGETHER = 6, 8, 2_000
 _RANDOM = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 64, (2, BANDS * BAND), np.uint64)
 _ODD, _PLUS = _RANDOM[0] | np.uint64(1), _RANDOM[1]
 _FOLD, _PLACE = _RANDOM[1, :BAND] | np.uint64(1), _RANDOM[1, -BANDS:]
@@ -219,16 +222,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return spread_join(marked, named_ones, "fp", "n", ["salt"]).select(id_col, "fp", "component_id")
 
 
-def minima(text: str | None) -> tuple[int, np.ndarray]:
-    """A hash of the text's words, and BANDS hashes of BAND minima each over its shingles of NEAR_SHINGLE words."""
+def minima(text: str | None) -> tuple[int, int, np.ndarray]:
+    """A hash of the text's words, the SimHash of its distinct shingles of NEAR_SHINGLE words, and BANDS hashes of BAND minima each over them."""
     words = (text or "").encode().lower().split()
     hashes = np.fromiter(shingles(words), np.uint64)
     least = np.full(BANDS * BAND, np.iinfo(np.uint64).max, np.uint64)
+    bits = np.zeros(64, np.int64)
     for k in range(0, len(hashes), MINED):
-        np.minimum(least, (hashes[k : k + MINED, None] * _ODD + _PLUS).min(axis=0), out=least)
+        part = hashes[k : k + MINED]
+        np.minimum(least, (part[:, None] * _ODD + _PLUS).min(axis=0), out=least)
+        bits += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     banded = (least.reshape(BANDS, BAND) * _FOLD).sum(axis=1, dtype=np.uint64) + _PLACE
     banded = (banded ^ (banded >> np.uint64(31))) * _ODD[0]
-    return xxhash.xxh64_intdigest(b" ".join(words), SEED), banded.view(np.int64)
+    return xxhash.xxh64_intdigest(b" ".join(words), SEED), int.from_bytes(np.packbits(bits * 2 > len(hashes)).tobytes(), "big"), banded.view(np.int64)
 
 
 def shingles(words: list[bytes]) -> set[int]:
@@ -243,49 +249,86 @@ def alike(a: str | None, b: str | None) -> bool:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts(node, text) are alike."""
-    one, two = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
+    """The pairs (a, b) whose texts(node, text) are alike. The text of a b with very many pairs goes to several tasks."""
+    pairs = checkpointed(pairs)
+    many = checkpointed(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / TOGETHER).cast("int")).filter("parts > 1"))
+    dealt = spread_join(pairs, many, "b", "n", ["a"]).withColumn("part", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int"))
+    one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    copies = texts.join(many.select(F.col("b").alias("node"), "parts"), "node", "left").select(F.col("node").alias("b"), F.col("text").alias("text_b"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text_a", "text_b"))
             yield batch.select(["a", "b"]).filter(pa.array([alike(x, y) for x, y in zip(left, right, strict=True)], pa.bool_()))
 
-    return checkpointed(in_batches(pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b"), run, "a long, b long"))
+    met = dealt.join(one, "a").join(copies, ["b", "part"]).select("a", "b", "text_a", "text_b")
+    return checkpointed(in_batches(met, run, "a long, b long"))
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_id, _text (a hash of the text) and root for every document: roots are equal in each group that pairs of similar texts connect.
 
-    Similar: Jaccard similarity of word shingles of SIMILAR at least, verified on the texts. Candidates share
-    one of BANDS hashes of BAND minima, by which a pair at that similarity is missed once in 9,000 times.
-    Texts of equal words are one node. Each member of a band's list is first compared with the list's least
-    node alone; then pairs that are still in different groups are compared, all of them. So lists of one
-    group, however long, take time in proportion to their length, and there is no cap.
+    Similar: Jaccard similarity of word shingles of SIMILAR at least, verified on the texts. Candidates are the
+    links of op 7's index over SimHashes of the shingles, and texts that share one of BANDS hashes of BAND minima:
+    texts at that similarity are some ten bits apart, too many for the index alone, while they share no list
+    once in 9,000 times. Texts of equal words are one node. While there are over DENSE times as many pairs as
+    members in lists of several groups, at most ROUNDS times, each such list's members are compared with the
+    one of them that stands in the longest lists, the likely original of its copies; then pairs of a list that
+    are still in different groups are compared, all of them. So lists of one group, however long, take time
+    in proportion to their length, and there is no cap.
     """
-    slim = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_text"), F.col(text_col).alias("text"))
+    hashed = F.xxhash64(F.coalesce(named(text_col), F.lit("")))
+    slim = docs.select(named(id_col).alias("_id"), hashed.alias("_text"), named(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, bands = zip(*map(minima, batch.column(2).to_pylist()), strict=True) if batch.num_rows else ((), ())
-            node = pa.array(np.array(nodes, np.uint64).view(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), node, pa.array(list(bands), pa.list_(pa.int64()))], names=["_id", "_text", "node", "bands"])
-
-    marked = checkpointed(in_batches(slim, run, f"_id {slim.schema['_id'].dataType.simpleString()}, _text long, node long, bands array<long>"))
-    listed = marked.select("node", F.explode("bands").alias("band")).distinct()
-    lists = listed.groupBy("band").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "least")
-    members = checkpointed(listed.join(lists, "band"))
-    wanted = marked.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("_text").alias("_text"))
-    once = slim.groupBy("_text").agg(F.first("text").alias("text"))
-    texts = checkpointed(once.join(wanted, "_text").select("node", "text"))
-    first = _verified(members.filter("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), texts)
-    rooted = members.select("node", "band").join(components(first), "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    open_ones = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("band")
-    left = checkpointed(rooted.join(open_ones, "band"))
-    pairs = left.select("band", F.col("node").alias("a"), F.col("root").alias("root_a")).join(left.select("band", F.col("node").alias("b"), F.col("root").alias("root_b")), "band")
-    second = _verified(pairs.filter("a < b and root_a != root_b").select("a", "b").distinct(), texts)
-    found = components(first.unionByName(second))
-    return marked.select("_id", "_text", "node").join(found, "node", "left").select("_id", "_text", F.coalesce("root", "node").alias("root"))
+            nodes, prints, bands = zip(*map(minima, batch.column(2).to_pylist()), strict=True) if batch.num_rows else ((), (), ())
+            long = lambda v: pa.array(np.array(v, np.uint64).view(np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), long(nodes), long(prints), pa.array(list(bands), pa.list_(pa.int64()))], names=["_id", "_text", "node", "fp", "bands"])
+
+    marked = checkpointed(in_batches(slim, run, f"_id {slim.schema['_id'].dataType.simpleString()}, _text long, node long, fp long, bands array<long>"))
+    # a row a node, by partial aggregates; equal nodes have equal bands and prints
+    nodes = checkpointed(marked.groupBy("node").agg(F.min("_text").alias("_text"), F.min("fp").alias("fp"), F.min("bands").alias("bands"), F.count(F.lit(1)).alias("n")))
+    listed = nodes.select("node", F.explode("bands").alias("band"))
+    lists = checkpointed(listed.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("length", F.col("n")))
+    members = checkpointed(spread_join(listed, lists, "band", "n", ["node"]).filter("length is not null"))
+    weights = members.groupBy("node").agg(F.sum("length").alias("weight"))
+    members = checkpointed(members.join(weights, "node").select("band", "node", "weight"))
+
+    prints = checkpointed(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")))
+    same_print = spread_join(nodes.select("node", "fp"), prints.filter("n > 1"), "fp", "n", ["node"]).filter("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    of_print = lambda c: prints.select(F.col("fp").alias(f"fp_{c}"), F.col("least").alias(c))
+    linked = links(prints.select("fp")).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b")).join(of_print("a"), "fp_a").join(of_print("b"), "fp_b").select("a", "b")
+    by_index = checkpointed(same_print.unionByName(linked).distinct())
+
+    wanted = members.select("node").unionByName(by_index.select(F.col("a").alias("node"))).unionByName(by_index.select(F.col("b").alias("node"))).distinct()
+    once = slim.groupBy("_text").agg(F.min("text").alias("text"))
+    texts = checkpointed(once.join(nodes.join(wanted, "node").select("node", "_text"), "_text").select("node", "text"))
+
+    found = _verified(by_index, texts)
+    pivots = None
+    for turn in range(ROUNDS + 1):
+        rooted = members.join(components(found), "node", "left").select("band", "node", "weight", F.coalesce("root", "node").alias("root"))
+        sizes = checkpointed(rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low != high"))
+        pairs, open_members = sizes.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.sum("n")).first()
+        if not open_members:
+            break
+        final = turn == ROUNDS or pairs <= DENSE * open_members
+        left = checkpointed(spread_join(rooted, sizes, "band", "n", ["node"]).filter("low is not null").select("band", "node", "weight", "root"))
+        if not final:
+            open_ones = left if pivots is None else left.join(pivots, (left["band"] == pivots["pivot_band"]) & (left["node"] == pivots["pivot"]), "left_anti")
+            chosen = open_ones.groupBy("band").agg(F.max_by(F.struct("node", "root"), F.struct("weight", "node")).alias("p"))
+            chosen = checkpointed(chosen.join(left.groupBy("band").agg(F.count(F.lit(1)).alias("n")), "band").select("band", "n", F.col("p.node").alias("pivot"), F.col("p.root").alias("pivot_root")))
+            used = chosen.select(F.col("band").alias("pivot_band"), "pivot")
+            pivots = checkpointed(used if pivots is None else pivots.unionByName(used))
+            tried = spread_join(left, chosen, "band", "n", ["node"]).filter("root != pivot_root").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+        else:
+            tried = left.select("band", F.col("node").alias("a"), F.col("root").alias("root_a")).join(left.select("band", F.col("node").alias("b"), F.col("root").alias("root_b")), "band").filter("a < b and root_a != root_b").select("a", "b")
+        found = checkpointed(found.unionByName(_verified(tried.distinct(), texts)))
+        if final:
+            break
+    roots = checkpointed(nodes.select("node", "n").join(components(found), "node", "left").select("node", "n", F.coalesce("root", "node").alias("root")))
+    return spread_join(marked.select("_id", "_text", "node", F.monotonically_increasing_id().alias("_salt")), roots, "node", "n", ["_salt"]).select("_id", "_text", "root")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -296,8 +339,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     found = similar_groups(docs, id_col, text_col)
     least = found.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_text")).alias("least"))
-    kept = checkpointed(least.select(F.col("least._id").alias("_id"), F.col("least._text").alias("_text")))
-    others = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.name != text_col and "map<" not in f.dataType.simpleString()]
-    row = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.xxhash64(*others).alias("_rest"))
-    once = row.groupBy("_id", "_text").agg(F.min_by("_row", "_rest").alias("_row")).withColumnRenamed("_id", "_own")
-    return once.join(kept.withColumnRenamed("_text", "_kept"), (F.col("_text") == F.col("_kept")) & F.col("_own").eqNullSafe(F.col("_id")), "left_semi").select("_row.*")
+    kept = checkpointed(least.select(F.col("least._id").alias("_kept_id"), F.col("least._text").alias("_kept")))
+    others = [named(f.name) for f in docs.schema.fields if f.name != text_col and "map<" not in f.dataType.simpleString()]
+    row = docs.select(F.struct(*[named(c) for c in docs.columns]).alias("_row"), F.xxhash64(*others).alias("_rest"), named(id_col).alias("_own"), F.xxhash64(F.coalesce(named(text_col), F.lit(""))).alias("_text"))
+    once = row.groupBy("_own", "_text").agg(F.min_by("_row", "_rest").alias("_row"))
+    stay = once.join(kept, (F.col("_text") == F.col("_kept")) & F.col("_own").eqNullSafe(F.col("_kept_id")), "left_semi")
+    return stay.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

@@ -582,6 +582,28 @@ def test_near_copies_by_similarity(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(least.values())
 
 
+def test_near_copies_of_one_original(spark, monkeypatch):
+    """Many copies of one text, far from each other but near it, and texts that share half of their words."""
+    monkeypatch.setattr(simhash, "ROUNDS", 2)
+    monkeypatch.setattr(simhash, "DENSE", 1)
+    monkeypatch.setattr(simhash, "TOGETHER", 7)
+    g = random.Random(5)
+    words = ["".join(g.choice("etaoinshr") for _ in range(5)) for _ in range(500)]
+    base = [g.choice(words) for _ in range(120)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 50):
+        near = list(base)
+        near[g.randrange(120)] = f"odd{k}"
+        near[g.randrange(120)] = f"other{k}"
+        rows.append((k, " ".join(near)))
+    rows += [(100 + k, " ".join(base[:60] + [g.choice(words) for _ in range(60)])) for k in range(30)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"_id": F.lit(1), "a.b": F.lit(2), "_text": F.lit(3), "_own": F.lit(4), "node": F.lit(5)})
+    kept = simhash.one_of_each(odd)
+    assert kept.columns == odd.columns
+    want = [0] + [100 + k for k in range(30)]
+    assert sorted(r.doc_id for r in kept.collect()) == want
+
+
 def test_one_row_of_each_group(spark):
     a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
     rows = [(None, a, 1), (None, a, 2), (None, b, 3), (7, b, 4), (7, b, 5), (8, c, 6), (8, c, 6), (9, None, 7), (None, "", 8)]
