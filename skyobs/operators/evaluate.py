@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,36 +115,76 @@ def mcnemar(df: DataFrame, preds: list[str], truth: str = "truth") -> DataFrame:
     return sums.select(F.inline(rows)).withColumn("mcnemar_chi2", F.try_divide(F.pow(F.abs(b - c) - 1, F.lit(2.0)), b + c))
 
 
+RESAMPLES = ("distinct", "multinomial")
+
+
+def bootstrap(df: DataFrame, preds: list[str], truth: str = "truth", block: str | None = None, n_boot: int = 500, conf: float = 0.95, seed: int = 1, resample: str = "distinct") -> DataFrame:
+    """method, accuracy, lower and upper: accuracies with a bootstrap interval over blocks.
+
+    Rows are summed by block, and blocks by draw, on the executors, so there may be any number of blocks. A
+    draw counts each block as often as a Poisson variable of mean 1 says, which is what drawing as many blocks with
+    replacement comes to ('multinomial'), or once if that is above 0 ('distinct', which gives narrower intervals).
+    Without a block column, a hash deals rows to 1,000 blocks. Blocks draw from the seed and their own name.
+    """
+    if resample not in RESAMPLES:
+        raise ValueError("resample is distinct or multinomial")
+    key = F.xxhash64(F.col(block)) if block else F.pmod(F.xxhash64(*[F.col(c) for c in df.columns], F.monotonically_increasing_id()), F.lit(1000))
+    right = [f"right_{i}" for i in range(len(preds))]
+    sums = df.groupBy(key.alias("b")).agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.count_if(F.col(p) == F.col(truth)).cast("double").alias(r) for p, r in zip(preds, right, strict=True)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n_boot + 1, len(preds) + 1))  # the last row: every block once
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                values = np.column_stack([c.to_numpy() for c in part.columns[1:]])
+                weights = np.array([special.rng(seed, b).poisson(1, n_boot) for b in part.column(0).to_pylist()], float)
+                weights = np.minimum(weights, 1) if resample == "distinct" else weights
+                total += np.vstack([weights.T, np.ones((1, part.num_rows))]) @ values
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_boot + 1), pa.int32()), *(pa.array(c) for c in total.T)], names=["draw", "n", *right])
+
+    drawn = sums.mapInArrow(run, "draw int, n double, " + ", ".join(f"{r} double" for r in right)).groupBy("draw").agg(*[F.sum(c).alias(c) for c in ("n", *right)])
+    shares = drawn.select("draw", F.inline(F.array(*[F.struct(F.lit(p).alias("method"), F.try_divide(F.col(r), F.col("n")).alias("share")) for p, r in zip(preds, right, strict=True)])))
+    of_draws, tail = F.when(F.col("draw") < n_boot, F.col("share")), (1 - conf) / 2
+    return shares.groupBy("method").agg(F.max(F.when(F.col("draw") == n_boot, F.col("share"))).alias("accuracy"), F.percentile(of_draws, tail).alias("lower"), F.percentile(of_draws, 1 - tail).alias("upper"))
+
+
+def with_p_values(tests: DataFrame, chi2: str = "mcnemar_chi2") -> DataFrame:
+    """tests with p_value, the chance of a chi-squared value (one degree of freedom) as large; null where there is none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = [None if x is None else special.chi2_1_tail(x) for x in batch.column(batch.schema.get_field_index(chi2)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, "p_value"])
+
+    return tests.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tests.schema.fields) + ", p_value double")
+
+
+def compared(df: DataFrame, preds: list[str], truth: str = "truth", **settings) -> DataFrame:
+    """method, accuracy, lower, upper, best, and McNemar's chi-squared and p value against the most accurate method (null for itself)."""
+    summary = bootstrap(df, preds, truth, **settings)
+    if len(preds) < 2:
+        return summary.withColumns({"best": F.col("method"), "mcnemar_chi2": F.lit(None).cast("double"), "p_value": F.lit(None).cast("double")})
+    best = summary.agg(F.max_by("method", F.struct("accuracy", "method")).alias("best"))
+    tests = with_p_values(mcnemar(df, preds, truth)).select(F.col("method_a"), F.col("method_b"), "mcnemar_chi2", "p_value")
+    both = tests.unionByName(tests.select(F.col("method_b").alias("method_a"), F.col("method_a").alias("method_b"), "mcnemar_chi2", "p_value"))
+    marked = summary.crossJoin(F.broadcast(best))  # one row
+    return marked.join(both, (F.col("best") == F.col("method_a")) & (F.col("method") == F.col("method_b")), "left").drop("method_a", "method_b")
+
+
 @dataclass(frozen=True)
 class Comparison:
+    """A row a method, best first, and a row a pair of methods, as dicts."""
+
     summary: list[dict]
     pairwise: list[dict]
 
 
-def compare(df: DataFrame, preds: list[str], truth: str = "truth", block: str | None = None, n_boot: int = 500, conf: float = 0.95, seed: int = 1, resample: str = "distinct") -> Comparison:
-    """Accuracy with a bootstrap interval over blocks, best first, and McNemar tests with p values.
-
-    Rows are first summed by block. resample='distinct' draws blocks with replacement and counts each once;
-    'multinomial' counts them as often as drawn, which is the usual bootstrap and gives wider intervals.
-    Without a block column, a hash deals rows to 1,000 blocks.
-    """
-    if resample not in ("distinct", "multinomial"):
-        raise ValueError("resample is distinct or multinomial")
-    key = F.col(block) if block else F.pmod(F.xxhash64(*[F.col(c) for c in df.columns], F.monotonically_increasing_id()), F.lit(1000))
-    sums = df.groupBy(key.alias("b")).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(p) == F.col(truth)).alias(p) for p in preds]).orderBy("b").toPandas()
-    n, draws, rng = sums["n"].to_numpy(float), [], special.rng(seed)
-    for _ in range(n_boot):
-        weight = np.bincount(rng.integers(0, len(n), len(n)), minlength=len(n))
-        draws.append(weight if resample == "multinomial" else (weight > 0).astype(float))
-    weights = np.array(draws)
-    out = []
-    for p in preds:
-        k = sums[p].to_numpy(float)
-        share = weights @ k / (weights @ n)
-        low, high = np.quantile(share, [(1 - conf) / 2, (1 + conf) / 2])
-        out.append({"method": p, "accuracy": k.sum() / n.sum(), "lower": float(low), "upper": float(high)})
-    pairwise = [r.asDict() | {"p_value": None if r["mcnemar_chi2"] is None else special.chi2_1_tail(r["mcnemar_chi2"])} for r in mcnemar(df, preds, truth).collect()] if len(preds) > 1 else []
-    return Comparison(sorted(out, key=lambda r: -r["accuracy"]), pairwise)
+def compare(df: DataFrame, preds: list[str], truth: str = "truth", **settings) -> Comparison:
+    """bootstrap's rows, best first, and McNemar tests with p values: as many rows as methods, and pairs of them, reach the driver."""
+    found = [r.asDict() for r in bootstrap(df, preds, truth, **settings).collect()]
+    pairs = [r.asDict() for r in with_p_values(mcnemar(df, preds, truth)).collect()] if len(preds) > 1 else []
+    return Comparison(sorted(found, key=lambda r: -r["accuracy"]), pairs)
 
 
 def agreement(df: DataFrame, masks: list[str]) -> DataFrame:

@@ -88,8 +88,7 @@ def mcnemar(spark: SparkSession, d: str) -> DataFrame:
 
 @query("compare_bootstrap")
 def compare_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    found = ev.compare(dt.evaluation(spark, d), _PREDS, block="block")
-    return spark.createDataFrame([(r["method"], float(r["accuracy"]), r["lower"], r["upper"]) for r in found.summary], "method string, accuracy double, lower double, upper double")
+    return ev.compared(dt.evaluation(spark, d), _PREDS, block="block")
 
 
 _AG = f"""WITH {_E}, s AS (SELECT block, pred, pred_b, pred_c, CAST(pred + pred_b + pred_c AS DOUBLE)/3 AS agreement FROM e),

@@ -135,6 +135,19 @@ def test_comparison(spark):
         assert all(r["lower"] <= r["accuracy"] <= r["upper"] for r in found.summary)
 
 
+def test_compared_with_the_best(spark):
+    g = np.random.default_rng(4)
+    truth = g.integers(0, 2, 3000)
+    off = lambda share: np.where(g.random(3000) < share, 1 - truth, truth)
+    a, b, c = off(0.1), off(0.12), off(0.4)
+    df = spark.createDataFrame([(int(k % 60), *map(int, v)) for k, v in enumerate(zip(truth, a, b, c))], "block int, truth int, a int, b int, c int")
+    got = {r.method: r for r in evaluate.compared(df, ["a", "b", "c"], block="block").collect()}
+    assert {r.best for r in got.values()} == {"a"} and got["a"].p_value is None and got["b"].p_value > 1e-4 > got["c"].p_value
+    assert all(abs(got[m].accuracy - (v == truth).mean()) < 1e-12 and got[m].lower < got[m].accuracy < got[m].upper for m, v in zip("abc", (a, b, c)))
+    width = lambda how: (lambda r: r.upper - r.lower)(evaluate.bootstrap(df, ["c"], block="block", resample=how).first())
+    assert abs(width("multinomial") - 3.92 * np.sqrt(0.24 / 3000)) < 0.012 and width("distinct") < width("multinomial")
+
+
 def test_fits_of_many_series_at_once():
     g = np.random.default_rng(3)
     doy, seen = np.sort(g.uniform(1, 365, (40, 60)), axis=1), g.random((40, 60)) < 0.5
