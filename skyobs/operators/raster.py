@@ -177,16 +177,23 @@ def terrain_steps(zenith: float, azimuth: float, res: float, max_distance: float
 
 
 def terrain_shadow(dem: DataFrame, zenith: float, azimuth: float, rows: int, cols: int, res: float = 30, max_distance: float = 20000, z: str = "z", scene: str = "scene") -> DataFrame:
-    """scene, row, col, shadow: 1 where ground towards the sun rises above the ray to it. A sun at the zenith casts none."""
+    """scene, row, col, shadow: 1 where ground towards the sun rises above the ray to it. A sun at the zenith casts none.
+
+    A pixel goes no further than the ray takes to fall from it to the scene's lowest ground, so the rows that are
+    shuffled grow with the relief, not with max_distance.
+    """
     number(zenith, "zenith", 0, 89.9)
     steps = terrain_steps(zenith, azimuth, res, max_distance, rows, cols)
     base = dem.select(scene, "row", "col", F.col(z).alias("z"))
     if zenith == 0 or not steps:
         return base.select(scene, "row", "col", F.lit(0).alias("shadow"))
     rise = res / math.tan(math.radians(zenith))
-    shifts = F.explode(F.array(*[F.struct(F.lit(k * rise).alias("up"), F.lit(dc).alias("dc"), F.lit(dr).alias("dr")) for k, dc, dr in steps]))
+    every = F.array(*[F.struct(F.lit(k * rise).alias("up"), F.lit(dc).alias("dc"), F.lit(dr).alias("dr")) for k, dc, dr in steps])
+    lows = base.groupBy(F.col(scene).alias("_scene")).agg(F.min("z").alias("_low"))
+    reached = base.join(lows, F.col(scene) == F.col("_scene"))
+    shifts = F.explode(F.filter(every, lambda s: s["up"] < F.col("z") - F.col("_low")))
     # ground pixels look from where they stand back along each step: the pixel that they may shade, and the height it would need
-    high = base.select(scene, "row", "col", "z", shifts.alias("s")).select(scene, (F.col("row") - F.col("s.dr")).alias("row"), (F.col("col") - F.col("s.dc")).alias("col"), (F.col("z") - F.col("s.up")).alias("ray"))
+    high = reached.select(scene, "row", "col", "z", shifts.alias("s")).select(scene, (F.col("row") - F.col("s.dr")).alias("row"), (F.col("col") - F.col("s.dc")).alias("col"), (F.col("z") - F.col("s.up")).alias("ray"))
     top = high.groupBy(scene, "row", "col").agg(F.max("ray").alias("ray"))
     return base.join(top, [scene, "row", "col"], "left").select(scene, "row", "col", F.coalesce((F.col("ray") > F.col("z")).cast("int"), F.lit(0)).alias("shadow"))
 
