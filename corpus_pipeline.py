@@ -21,7 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group that SimHash links connect."""
+    """One document, that of the smallest id, of each group that pairs of similar texts connect; op 7's index and lists of minima find the pairs."""
     return simhash.one_of_each(docs)
 
 
