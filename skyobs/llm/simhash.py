@@ -143,9 +143,9 @@ def index_lists(nodes: DataFrame) -> DataFrame:
     done, width = None, LISTED
     while True:
         counted = lists.groupBy("place", "bytes").agg(F.count(F.lit(1)).alias("n"))
-        long = checkpointed(counted.filter(F.col("n") > LONG).select(F.xxhash64("place", "bytes").alias("at"), F.col("place").alias("long_place"), F.col("bytes").alias("long_bytes"), "n")) if width < SHARED else None
-        if long is None or long.isEmpty():
+        if width == SHARED or (counted.agg(F.max("n")).first()[0] or 0) <= LONG:
             return lists if done is None else done.unionByName(lists)
+        long = checkpointed(counted.filter(F.col("n") > LONG).select(F.xxhash64("place", "bytes").alias("at"), F.col("place").alias("long_place"), F.col("bytes").alias("long_bytes"), "n"))
         met = spread_join(lists.withColumn("at", F.xxhash64("place", "bytes")), long, "at", "n", ["fp"]).withColumn("split", (F.col("place") == F.col("long_place")) & (F.col("bytes") == F.col("long_bytes")))
         met = checkpointed(met.select("fp", "place", "bytes", F.coalesce("split", F.lit(False)).alias("split")))
         short = met.filter("not split").drop("split")
@@ -251,17 +251,25 @@ def alike(a: str | None, b: str | None) -> bool:
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts(node, text) are alike. The text of a b with very many pairs goes to several tasks."""
     pairs = checkpointed(pairs)
-    many = checkpointed(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / TOGETHER).cast("int")).filter("parts > 1"))
-    dealt = spread_join(pairs, many, "b", "n", ["a"]).withColumn("part", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int"))
+    counted = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    most = counted.agg(F.max("n")).first()[0]
+    if most is None:
+        return pairs
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    copies = texts.join(many.select(F.col("b").alias("node"), "parts"), "node", "left").select(F.col("node").alias("b"), F.col("text").alias("text_b"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    if most <= TOGETHER:
+        met = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
+    else:
+        many = checkpointed(counted.withColumn("parts", F.ceil(F.col("n") / TOGETHER).cast("int")).filter("parts > 1"))
+        dealt = spread_join(pairs, many, "b", "n", ["a"]).withColumn("part", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int"))
+        copies = two.join(many.select("b", "parts"), "b", "left").select("b", "text_b", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+        met = dealt.join(one, "a").join(copies, ["b", "part"]).select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text_a", "text_b"))
             yield batch.select(["a", "b"]).filter(pa.array([alike(x, y) for x, y in zip(left, right, strict=True)], pa.bool_()))
 
-    met = dealt.join(one, "a").join(copies, ["b", "part"]).select("a", "b", "text_a", "text_b")
     return checkpointed(in_batches(met, run, "a long, b long"))
 
 
@@ -293,7 +301,6 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lists = checkpointed(listed.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("length", F.col("n")))
     members = checkpointed(spread_join(listed, lists, "band", "n", ["node"]).filter("length is not null"))
     weights = members.groupBy("node").agg(F.sum("length").alias("weight"))
-    members = checkpointed(members.join(weights, "node").select("band", "node", "weight"))
 
     prints = checkpointed(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")))
     same_print = spread_join(nodes.select("node", "fp"), prints.filter("n > 1"), "fp", "n", ["node"]).filter("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
@@ -308,16 +315,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = _verified(by_index, texts)
     pivots = None
     for turn in range(ROUNDS + 1):
-        rooted = members.join(components(found), "node", "left").select("band", "node", "weight", F.coalesce("root", "node").alias("root"))
+        rooted = members.join(components(found), "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
         sizes = checkpointed(rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low != high"))
         pairs, open_members = sizes.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.sum("n")).first()
         if not open_members:
             break
         final = turn == ROUNDS or pairs <= DENSE * open_members
-        left = checkpointed(spread_join(rooted, sizes, "band", "n", ["node"]).filter("low is not null").select("band", "node", "weight", "root"))
+        left = checkpointed(spread_join(rooted, sizes, "band", "n", ["node"]).filter("low is not null").select("band", "node", "root"))
         if not final:
             open_ones = left if pivots is None else left.join(pivots, (left["band"] == pivots["pivot_band"]) & (left["node"] == pivots["pivot"]), "left_anti")
-            chosen = open_ones.groupBy("band").agg(F.max_by(F.struct("node", "root"), F.struct("weight", "node")).alias("p"))
+            chosen = open_ones.join(weights, "node").groupBy("band").agg(F.max_by(F.struct("node", "root"), F.struct("weight", "node")).alias("p"))
             chosen = checkpointed(chosen.join(left.groupBy("band").agg(F.count(F.lit(1)).alias("n")), "band").select("band", "n", F.col("p.node").alias("pivot"), F.col("p.root").alias("pivot_root")))
             used = chosen.select(F.col("band").alias("pivot_band"), "pivot")
             pivots = checkpointed(used if pivots is None else pivots.unionByName(used))
