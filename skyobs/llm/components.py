@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyobs.llm.runtime import checkpointed, spread_join
+from skyobs.llm.runtime import checkpointed, compacted, spread_join
 
 
 #: Edges up to which a node's edges may meet in one task.
@@ -30,6 +30,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = checkpointed(links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("w")).distinct())
     told = lambda: edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "w").cast("decimal(38,0)"))).first()
     before, now = None, told()
+    edges = compacted(edges, now[0])
     while now != before:
         spread = now[0] > HUB
         kept = checkpointed if spread else lambda df: df
@@ -39,6 +40,6 @@ def components(links: DataFrame) -> DataFrame:
         large = kept(large.filter("u != w").distinct())
         low = kept(large.groupBy("u").agg(F.min("w").alias("m"), F.count(F.lit(1)).alias("n")))
         small = _with_least(large, low, spread).select(F.greatest("w", "m").alias("u"), F.least("w", "m").alias("w")).filter("u != w").unionByName(low.select("u", F.col("m").alias("w")))
-        edges = checkpointed(small.distinct())
+        edges = checkpointed(compacted(small.distinct(), now[0]))  # never more edges than before
         before, now = now, told()
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("w").alias("root")).unionByName(edges.select(F.col("w").alias("node"), F.col("w").alias("root")).distinct())

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 #: A key with over one in so many of all rows is hot: there can't be more hot keys than this, so they are broadcast.
 HOT_SHARE = 2_000
+#: Rows of a compacted table that a partition holds.
+ROWS_IN_PART = 100_000
 #: Rows up to which a counted table of a row a key is broadcast whole.
 SMALL = 10_000
 
@@ -29,6 +31,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def compacted(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A checkpointed table in as many partitions as its rows need, ROWS_IN_PART each, and no more than it has: what reads it makes no files for empty ones."""
+    count = df.count() if rows is None else rows
+    return df.coalesce(max(1, -(-count // ROWS_IN_PART)))
+
+
 def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """df.mapInArrow(run), where run sees slices of at most BATCH_ROWS rows and about BATCH_BYTES bytes.
 

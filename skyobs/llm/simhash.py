@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyobs.llm.components import components
-from skyobs.llm.runtime import checkpointed, in_batches, named, spread_join
+from skyobs.llm.runtime import checkpointed, compacted, in_batches, named, spread_join
 
 #: Words in a shingle, seed of the hash, most differing bits of a link.
 SHINGLE, SEED, BITS = 3, 42, 3
@@ -250,7 +250,7 @@ def alike(a: str | None, b: str | None) -> bool:
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts(node, text) are alike. The text of a b with very many pairs goes to several tasks."""
-    pairs = checkpointed(pairs)
+    pairs = compacted(checkpointed(pairs))
     counted = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
     most = counted.agg(F.max("n")).first()[0]
     if most is None:
@@ -296,10 +296,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     marked = checkpointed(in_batches(slim, run, f"_id {slim.schema['_id'].dataType.simpleString()}, _text long, node long, fp long, bands array<long>"))
     # a row a node, by partial aggregates; equal nodes have equal bands and prints
-    nodes = checkpointed(marked.groupBy("node").agg(F.min("_text").alias("_text"), F.min("fp").alias("fp"), F.min("bands").alias("bands"), F.count(F.lit(1)).alias("n")))
+    nodes = compacted(checkpointed(marked.groupBy("node").agg(F.min("_text").alias("_text"), F.min("fp").alias("fp"), F.min("bands").alias("bands"), F.count(F.lit(1)).alias("n"))))
     listed = nodes.select("node", F.explode("bands").alias("band"))
     lists = checkpointed(listed.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("length", F.col("n")))
-    members = checkpointed(spread_join(listed, lists, "band", "n", ["node"]).filter("length is not null"))
+    members = compacted(checkpointed(spread_join(listed, lists, "band", "n", ["node"]).filter("length is not null")))
     weights = members.groupBy("node").agg(F.sum("length").alias("weight"))
 
     prints = checkpointed(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")))
@@ -316,22 +316,22 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pivots = None
     for turn in range(ROUNDS + 1):
         rooted = members.join(components(found), "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-        sizes = checkpointed(rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low != high"))
+        sizes = compacted(checkpointed(rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low != high")))
         pairs, open_members = sizes.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.sum("n")).first()
         if not open_members:
             break
         final = turn == ROUNDS or pairs <= DENSE * open_members
-        left = checkpointed(spread_join(rooted, sizes, "band", "n", ["node"]).filter("low is not null").select("band", "node", "root"))
+        left = compacted(checkpointed(spread_join(rooted, sizes, "band", "n", ["node"]).filter("low is not null").select("band", "node", "root")), open_members)
         if not final:
             open_ones = left if pivots is None else left.join(pivots, (left["band"] == pivots["pivot_band"]) & (left["node"] == pivots["pivot"]), "left_anti")
             chosen = open_ones.join(weights, "node").groupBy("band").agg(F.max_by(F.struct("node", "root"), F.struct("weight", "node")).alias("p"))
-            chosen = checkpointed(chosen.join(left.groupBy("band").agg(F.count(F.lit(1)).alias("n")), "band").select("band", "n", F.col("p.node").alias("pivot"), F.col("p.root").alias("pivot_root")))
+            chosen = compacted(checkpointed(chosen.join(left.groupBy("band").agg(F.count(F.lit(1)).alias("n")), "band").select("band", "n", F.col("p.node").alias("pivot"), F.col("p.root").alias("pivot_root"))))
             used = chosen.select(F.col("band").alias("pivot_band"), "pivot")
-            pivots = checkpointed(used if pivots is None else pivots.unionByName(used))
+            pivots = used if pivots is None else compacted(checkpointed(pivots.unionByName(used)))
             tried = spread_join(left, chosen, "band", "n", ["node"]).filter("root != pivot_root").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
         else:
             tried = left.select("band", F.col("node").alias("a"), F.col("root").alias("root_a")).join(left.select("band", F.col("node").alias("b"), F.col("root").alias("root_b")), "band").filter("a < b and root_a != root_b").select("a", "b")
-        found = checkpointed(found.unionByName(_verified(tried.distinct(), texts)))
+        found = compacted(checkpointed(found.unionByName(_verified(tried.distinct(), texts))))
         if final:
             break
     roots = checkpointed(nodes.select("node", "n").join(components(found), "node", "left").select("node", "n", F.coalesce("root", "node").alias("root")))
