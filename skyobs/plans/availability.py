@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from skyobs.operators import availability as av
 from skyobs.operators import statistics as st
 from skyobs.operators.simulate import rounded
+from skyobs.plans.registry import registry
 from skyobs.sources import driver_tables as dt
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+QUERIES, SQL, query = registry()
 _OBS = f"obs AS (SELECT {dt.OBS} FROM lineitem)"
 _PERIOD = {
     "year": "CAST(year(date) AS VARCHAR)", "month": "strftime(date, '%Y-%m')",
@@ -22,16 +22,6 @@ _PERIOD = {
 _UNIT = {"year": ("year", "12 MONTH"), "season": ("quarter", "3 MONTH"), "month": ("month", "1 MONTH")}
 
 
-def query(name: str, sql: str | None = None):
-    def keep(fn):
-        QUERIES[name] = lambda spark, sf_dir: rounded(fn(spark, sf_dir))
-        if sql:
-            SQL[name] = sql
-        return fn
-
-    return keep
-
-
 def _gaps_sql(by: str, edges: bool = True, tail: str | None = None) -> str:
     if by == "all":
         bounds = "(SELECT min(date) FROM obs) AS p0, (SELECT max(date) FROM obs) AS p1"

@@ -7,23 +7,13 @@ from pyspark.sql import functions as F
 
 from skyobs.operators import evaluate as ev
 from skyobs.operators.simulate import rounded
+from skyobs.plans.registry import registry
 from skyobs.sources import driver_tables as dt
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+QUERIES, SQL, query = registry()
 _E = f"e AS (SELECT {dt.EVAL} FROM lineitem)"
 
 
-def query(name: str, sql: str | None = None):
-    def keep(fn):
-        QUERIES[name] = lambda spark, sf_dir: rounded(fn(spark, sf_dir))
-        if sql:
-            SQL[name] = sql
-        return fn
-
-    return keep
-
-
 _LV = "lv AS (SELECT pred AS v FROM e UNION SELECT truth FROM e)"
 _CONF = f"WITH {_E}, {_LV}, conf AS (SELECT a.v AS pred, b.v AS truth, (SELECT count(*) FROM e WHERE e.pred = a.v AND e.truth = b.v) AS n FROM lv a, lv b)"
 

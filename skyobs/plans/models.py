@@ -9,25 +9,14 @@ from skyobs import sensors
 from skyobs.operators import detect, phenology, simulate
 from skyobs.operators import grid as g
 from skyobs.operators.availability import gaps
-from skyobs.operators.simulate import rounded
 from skyobs.operators.statistics import vocabulary
 from skyobs.plans import availability
 from skyobs.plans.spatial import q_sql
+from skyobs.plans.registry import registry
 from skyobs.sources import driver_tables as dt
 from skyobs.sources import sinks, stac
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def keep(fn):
-        QUERIES[name] = lambda spark, sf_dir: rounded(fn(spark, sf_dir))
-        if sql:
-            SQL[name] = sql
-        return fn
-
-    return keep
+QUERIES, SQL, query = registry()
 
 
 @query("metrics_vocabulary", "SELECT * FROM (VALUES ('n_scenes','count',0.0::DOUBLE,NULL::DOUBLE,'sum'),('n_clear_obs','count',0.0,NULL,'sum'),('cloud_fraction','fraction',0.0,1.0,'wmean'),('clear_fraction','fraction',0.0,1.0,'wmean'),('shadow_fraction','fraction',0.0,1.0,'wmean'),('snow_fraction','fraction',0.0,1.0,'wmean'),('max_gap_days','days',0.0,NULL,'max'),('mean_gap_days','days',0.0,NULL,'wmean'),('p_clear','probability',0.0,1.0,'wmean'),('revisit_days','days',0.0,NULL,'wmean'),('sos_error_days','days',0.0,NULL,'wmean'),('disagreement','fraction',0.0,1.0,'wmean')) t(metric, unit, lower, upper, combine)")

@@ -7,27 +7,16 @@ from pyspark.sql import functions as F
 
 from skyobs.functions import exprs
 from skyobs.operators import detect, raster
-from skyobs.operators.simulate import rounded
+from skyobs.plans.registry import registry
 from skyobs.sources import driver_tables as dt
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+QUERIES, SQL, query = registry()
 _PX = f"px AS ({dt.px_sql()})"
 _DEM = f"dem AS (SELECT {dt.DEM} FROM part)"
 _GEO = {"res": dt.RES, "zenith": dt.ZENITH, "azimuth": dt.AZIMUTH}
 _HEIGHTS = tuple(range(200, 2001, 200))
 
 
-def query(name: str, sql: str | None = None, digits: int = 6):
-    def keep(fn):
-        QUERIES[name] = lambda spark, sf_dir: rounded(fn(spark, sf_dir), digits)
-        if sql:
-            SQL[name] = sql
-        return fn
-
-    return keep
-
-
 def _sig(x: str, mid: float | str, sc: float | str) -> str:
     return f"(1/(1 + exp(-(({x}) - ({mid}))/({sc}))))"
 

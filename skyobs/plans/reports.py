@@ -10,24 +10,13 @@ from pyspark.sql import functions as F
 from skyobs.functions import special
 from skyobs.functions.exprs import period
 from skyobs.operators import detect, scenes
-from skyobs.operators.simulate import rounded
 from skyobs.plans.availability import _OBS
 from skyobs.plans.pixels import _PX, _SCL
+from skyobs.plans.registry import registry
 from skyobs.sources import driver_tables as dt
 from skyobs.sources import harvest
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def keep(fn):
-        QUERIES[name] = lambda spark, sf_dir: rounded(fn(spark, sf_dir), 4)
-        if sql:
-            SQL[name] = sql
-        return fn
-
-    return keep
+QUERIES, SQL, query = registry(4)
 
 
 @query("obs_summary", f"WITH {_OBS} SELECT sensor, count(*) AS n, count(DISTINCT cell) AS n_cells, min(date) AS first, max(date) AS last, round(avg(cloud_fraction), 4) AS mean_cloud FROM obs GROUP BY sensor")

@@ -6,25 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyobs.operators import grid as g
-from skyobs.operators.simulate import rounded
+from skyobs.plans.registry import registry
 from skyobs.sources import driver_tables as dt
 from skyobs.sources import harvest
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+QUERIES, SQL, query = registry(4)
 GRID = g.Grid.over(25_000)
 
 
-def query(name: str, sql: str | None = None):
-    def keep(fn):
-        QUERIES[name] = lambda spark, sf_dir: rounded(fn(spark, sf_dir), 4)
-        if sql:
-            SQL[name] = sql
-        return fn
-
-    return keep
-
-
 _PTS = f"pts AS (SELECT {dt.PTS} FROM customer)"
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +55,46 @@ def consolidate(parts: DataFrame) -> DataFrame:
     return validate(merge(parts.drop("tile_id")))
 
 
+def run(spark: SparkSession, folder: str, plan: DataFrame, grid, by: str = "year", name: str | None = None, **search) -> DataFrame:
+    """Harvest the tiles of a plan into a folder and return the statistics of all that is there.
+
+    Only tiles without a mark are searched. Their items are written before anything is made of them, so that no
+    request is repeated for a task that is lost; each tile keeps the observations of the cells whose centre it
+    owns, whichever tile found the scene; statistics are written by tile and replace a former attempt's; marks come
+    last. A run that is broken off goes on where it was. search: what stac.search_tiles takes.
+    """
+    from skyobs.operators import grid as g
+    from skyobs.operators.availability import gaps
+    from skyobs.sources import stac
+
+    todo = remaining(plan, _marks(spark, folder), ["tile_id"])
+    raw = f"{folder}/items/{uuid.uuid4().hex}"
+    todo.write.mode("overwrite").parquet(f"{folder}/todo")
+    todo = spark.read.schema(todo.schema).parquet(f"{folder}/todo")
+    stac.search_tiles(todo, name=name, **search).write.parquet(raw)
+    found = spark.read.schema("tile_id string, sensor string, year int, feature string").parquet(raw)
+    for sensor in [r[0] for r in found.select("sensor").distinct().collect()]:  # a row a sensor
+        of_tile = found.filter(F.col("sensor") == sensor)
+        seen = stac.to_observations(stac.items(of_tile, sensor, keep=["tile_id"]), grid, strict=False, keep=["tile_id"])
+        placed = g.unproject(seen.withColumn("_cx", grid.centre_x((F.col("cell") - 1) % grid.ncol + 1)).withColumn("_cy", grid.centre_y(F.floor((F.col("cell") - 1) / grid.ncol) + 1)), "_cx", "_cy")
+        tile = todo.select(F.col("tile_id").alias("_tile"), F.col("west").alias("_w"), F.col("south").alias("_s"), F.col("year").alias("_y"))
+        mine = owned(placed).join(tile, F.col("tile_id") == F.col("_tile")).filter((F.col("tile_col") == F.floor((F.col("_w") + 180) / BAND)) & (F.col("tile_row") == F.floor((F.col("_s") - SOUTH) / BAND)))
+        # a cell has one owner a year, so a tile's statistics are those of its cells and year
+        yearly = mine.withColumn("cell", F.col("cell") * 10_000 + F.col("_y"))
+        stats = gaps(yearly, by).join(yearly.select(F.col("cell").alias("_cell"), "tile_id").distinct(), F.col("cell") == F.col("_cell")).drop("_cell")
+        write_parts(stats.withColumn("cell", F.floor(F.col("cell") / 10_000)), f"{folder}/stats")
+    todo.select("tile_id").write.mode("append").parquet(f"{folder}/done")
+    return consolidate(spark.read.parquet(f"{folder}/stats"))
+
+
+def _marks(spark: SparkSession, folder: str) -> DataFrame:
+    """tile_id of the tiles that are done; none before the first run."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/done")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], "tile_id string")
+    return spark.read.schema("tile_id string").parquet(f"{folder}/done")
+
+
 def retry(call: Callable, attempts: int = 5, base: float = 1.0, retryable: Callable[[Exception], bool] = lambda e: True, sleep: Callable[[float], None] = time.sleep):
     """call(), again after exponentially longer waits with jitter while it raises something retryable."""
     for k in range(attempts):
