@@ -24,8 +24,8 @@ FOLDS = 2
 ENOUGH = 30
 #: Text bytes of a block, whose distinct n-grams are joined with the shards of a model; parts that the rows of one id are dealt to.
 BLOCK_BYTES, SALTS = 16 << 20, 16
-#: Bytes whose n-grams are looked at together in a task.
-SLICE = 4 << 20
+#: Bytes whose n-grams are looked at together in a task; their sorting and sums take some 40 bytes a byte.
+SLICE = 1 << 20
 
 
 def packed_grams(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -176,15 +176,18 @@ def _packed(docs: DataFrame, with_text: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = 0, 0
         payloads: list[pa.Array] = []
-        texts: list[bytes] = []
+        sizes: list[int] = []
+        digests: list[int] = []
         size = 0
+        # texts are compressed as they come: the worker holds none of the block's but the last
+        fresh_coder = zstandard.ZstdCompressor(level=3).compressobj
+        coder, pieces = fresh_coder(), []
 
         def close() -> pa.RecordBatch:
-            raw = b"".join(texts)
-            hashes = pa.array(np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], np.uint64).view(np.int64))
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), c) for c in (pa.concat_arrays(payloads), pa.array([len(t) for t in texts], pa.int64()), hashes)]
+            hashes = pa.array(np.array(digests, np.uint64).view(np.int64))
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), c) for c in (pa.concat_arrays(payloads), pa.array(sizes, pa.int64()), hashes)]
             check = np.uint64(xxhash.xxh64_intdigest(hashes.to_numpy().tobytes())).view(np.int64)
-            coded = zstandard.ZstdCompressor(level=3).compress(raw) if with_text else None
+            coded = b"".join((*pieces, coder.flush())) if with_text else None
             columns = [pa.array([task << 32 | made], pa.int64()), pa.array([(3 * task + made) % n], pa.int32()), pa.array([check], pa.int64()), *lists, pa.array([coded], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["block", "part", "check", "payloads", "sizes", "hashes", "texts"])
 
@@ -193,15 +196,20 @@ def _packed(docs: DataFrame, with_text: bool) -> DataFrame:
             if batch.num_rows:
                 task = batch.column(2)[0].as_py()
             for k, text in enumerate(batch.column(1).to_pylist()):
-                texts.append((text or "").encode())
-                size += len(texts[-1])
+                raw = (text or "").encode()
+                sizes.append(len(raw))
+                digests.append(xxhash.xxh64_intdigest(raw, 42))
+                size += len(raw)
+                if with_text:
+                    pieces.append(coder.compress(raw))
                 if size >= BLOCK_BYTES:
                     payloads.append(batch.column(0).slice(start, k + 1 - start))
                     yield close()
-                    made, payloads, texts, size, start = made + 1, [], [], 0, k + 1
+                    made, payloads, sizes, digests, size, start = made + 1, [], [], [], 0, k + 1
+                    coder, pieces = fresh_coder(), []
             if start < batch.num_rows:
                 payloads.append(batch.column(0).slice(start))
-        if texts:
+        if sizes:
             yield close()
 
     # the scan's own partition: a task's number counts the parts of a union that come before
@@ -234,6 +242,7 @@ def _wanted(order: int):
             for k in range(batch.num_rows):
                 texts = _texts(batch.column(2)[k].as_py(), batch.column(3)[k].as_py())
                 parts = [np.unique(packed_grams(texts[a:b], order)[0]) for a, b in _slices(texts)]
+                del texts
                 grams = np.unique(np.concatenate(parts)).astype(np.int64)
                 for n in range(order + 1):
                     own = grams & ((1 << 8 * n) - 1)
@@ -297,13 +306,12 @@ def _scored(docs: DataFrame, model: DataFrame, order: int, flags: DataFrame | No
                         if marked is not None:
                             trusted[marked[1]] = True
                         table = pa.Table.from_batches(held) if held else None
-                        scorers = [_scorer(table, w, order) for w in range(models)]
-                        whole = scorers[0].perplexities(texts)
+                        whole = _scorer(table, 0, order).perplexities(texts)
                         apart: list[float | None] = [None] * len(texts)
                         folds = _folds(hashes) if trusted.any() else np.zeros(len(texts), np.int64)
                         for w in range(1, models):
                             mine = np.flatnonzero(trusted & (folds == w - 1)).tolist()
-                            for i, x in zip(mine, scorers[w].perplexities([texts[i] for i in mine]), strict=True):
+                            for i, x in zip(mine, _scorer(table, w, order).perplexities([texts[i] for i in mine]) if mine else (), strict=True):
                                 apart[i] = x
                         columns = [column("payloads")[k].values, pa.array(sizes, pa.int64()), pa.array(hashes), pa.array(np.full(len(texts), at_block), pa.int64()), pa.array(np.arange(len(texts)), pa.int32()), pa.array(trusted), pa.array(whole, pa.float64()), pa.array(apart, pa.float64())]
                         yield pa.RecordBatch.from_arrays(columns, names=names)

@@ -670,3 +670,18 @@ def test_quality_by_definition(spark, monkeypatch):
     assert Counter((r.doc_id, r.lang, r.n_bytes, r.trusted, None if r.perplexity is None else float(f"{r.perplexity:.4g}"), float(f"{r.threshold:.4g}"), r.kept) for r in got) == want
     kept = kneser_ney.keep_good(docs, labels)
     assert kept.columns == docs.columns and kept.count() == sum(n for r, n in want.items() if r[-1])
+
+
+def test_scoring_holds_little_memory(spark):
+    """A block's texts are looked at in slices: what a worker holds beyond them doesn't grow with the block."""
+    import tracemalloc
+
+    raw = np.random.Generator(np.random.PCG64(3)).integers(97, 123, 12 << 20, np.uint8).tobytes()
+    texts = [raw[k : k + 4096] for k in range(0, len(raw), 4096)]
+    none = kneser_ney.Scorer(*(np.zeros(0, kind) for kind in (np.int32, np.int64, np.float64, np.float64)))
+    tracemalloc.start()
+    found = none.perplexities(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == len(texts) and all(abs(x - 256) < 1e-6 for x in found)
+    assert most < 100 << 20
