@@ -58,80 +58,105 @@ def packbits_decode(data: bytes, most: int | None = None) -> bytes:
 
 
 def packbits_encode(data: bytes) -> bytes:
-    out, at = bytearray(), 0
-    while at < len(data):
-        run = 1
-        while run < 128 and at + run < len(data) and data[at + run] == data[at]:
-            run += 1
-        if run > 2:
-            out += bytes((257 - run, data[at]))
-            at += run
-            continue
-        end = at + 1
-        while end < len(data) and end - at < 128 and data[end : end + 3] != data[end : end + 1] * 3:
-            end += 1
-        out.append(end - at - 1)
-        out += data[at:end]
-        at = end
+    """Runs of three equal bytes and more, at most 128 a packet, and what lies between them."""
+    raw = np.frombuffer(data, np.uint8)
+    starts = np.concatenate(([0], np.flatnonzero(raw[1:] != raw[:-1]) + 1)) if len(raw) else np.zeros(0, np.int64)
+    sizes = np.diff(starts, append=len(raw))
+    long = np.flatnonzero(sizes > 2)
+    out, done = bytearray(), 0
+
+    def plain(end: int) -> None:
+        for k in range(done, end, 128):
+            part = data[k : min(k + 128, end)]
+            out.append(len(part) - 1)
+            out.extend(part)
+
+    for start, n in zip(starts[long].tolist(), sizes[long].tolist(), strict=True):
+        plain(start)
+        whole, rest = divmod(n, 128)
+        out += bytes((129, data[start])) * whole
+        if rest > 2:
+            out += bytes((257 - rest, data[start]))
+        done = start + n - (rest if rest < 3 else 0)
+    plain(len(data))
     return bytes(out)
 
 
+def _lzw_widths(first: int, n: int) -> np.ndarray:
+    """Bits of n codes, from the first-th after a cleared table on: widths grow one code early, to 12."""
+    following = 258 + np.arange(first, first + n)
+    return 9 + (following >= 512) + (following >= 1024) + (following >= 2048)
+
+
 def lzw_decode(data: bytes, most: int | None = None) -> bytes:
-    """Codes of 9 to 12 bits, high bit first; 256 clears the table, 257 ends, widths grow one code early."""
-    out, table, width, last = bytearray(), [], 9, b""
-    held = bits = 0
-    for byte in data:
-        held, bits = (held << 8 | byte) & 0xFFFFFF, bits + 8
-        if bits < width:
-            continue
-        bits -= width
-        code = held >> bits & ((1 << width) - 1)
-        if code == 257 or (most is not None and len(out) >= most):
-            break
-        if code == 256:
-            table, width, last = [bytes((i,)) for i in range(256)] + [b"", b""], 9, b""
-            continue
-        if code < len(table):
-            entry = table[code]
-        elif last and code == len(table):
-            entry = last + last[:1]
-        else:
-            raise ValueError("LZW code beyond the table")
-        out += entry
-        if last and len(table) < 4096:
-            table.append(last + entry[:1])
-        last = entry
-        width = 9 + (len(table) >= 511) + (len(table) >= 1023) + (len(table) >= 2047)
-    return bytes(out)
+    """Codes of 9 to 12 bits, high bit first; 256 clears the table, 257 ends, widths grow one code early.
+
+    A code's width follows from its place after the last 256, so codes are taken from the bits many at a time.
+    """
+    raw = np.concatenate((np.frombuffer(data, np.uint8), np.zeros(3, np.uint8))).astype(np.uint32)
+    out, table, last = bytearray(), [], b""
+    at, place, step = 0, 0, 64  # the next code's first bit, its place after the last 256, codes taken at once
+    while True:
+        widths = _lzw_widths(place, step)
+        ends = at + np.cumsum(widths)
+        widths = widths[: np.searchsorted(ends, 8 * len(data), "right")]
+        if not len(widths):
+            return bytes(out)
+        starts = ends[: len(widths)] - widths
+        byte = starts >> 3
+        codes = (raw[byte] << 16 | raw[byte + 1] << 8 | raw[byte + 2]) >> (24 - (starts & 7) - widths).astype(np.uint32) & ((1 << widths) - 1).astype(np.uint32)
+        special = np.flatnonzero(codes >> 1 == 128)
+        n = int(special[0]) if len(special) else len(codes)
+        for code in codes[:n].tolist():
+            if most is not None and len(out) >= most:
+                return bytes(out)
+            if code < len(table):
+                entry = table[code]
+            elif last and code == len(table):
+                entry = last + last[:1]
+            else:
+                raise ValueError("LZW code beyond the table")
+            out += entry
+            if last and len(table) < 4096:
+                table.append(last + entry[:1])
+            last = entry
+        at, place, step = int(ends[n - 1]) if n else at, place + n, min(2 * step, 4096)
+        if n < len(codes):
+            if codes[n] == 257 or (most is not None and len(out) >= most):
+                return bytes(out)
+            at, place, step = int(ends[n]), 0, 64
+            table, last = [bytes((i,)) for i in range(256)] + [b"", b""], b""
 
 
 def lzw_encode(data: bytes) -> bytes:
-    codes: list[tuple[int, int]] = [(256, 9)]
-    table: dict[bytes, int] = {bytes((i,)): i for i in range(256)}
-    following, width, word = 258, 9, b""
-    for i in range(len(data)):
-        longer = word + data[i : i + 1]
-        if longer in table:
+    codes, widths = [256], [np.array([9])]
+    table: dict[int, int] = {}  # a known word's code and the next byte, to the code of both
+    find, following, word, done = table.get, 258, -1, 1
+    for byte in data:
+        if word < 0:
+            word = byte
+            continue
+        longer = find(key := word << 8 | byte)
+        if longer is not None:
             word = longer
             continue
-        codes.append((table[word], width))
-        table[longer] = following
+        codes.append(word)
+        table[key] = following
         following += 1
-        width = 9 + (following >= 512) + (following >= 1024) + (following >= 2048)
-        word = data[i : i + 1]
+        word = byte
         if following == 4094:
-            codes.append((256, width))
-            table, following, width = {bytes((k,)): k for k in range(256)}, 258, 9
-    if word:
-        codes.append((table[word], width))
-        following += 1
-        width = 9 + (following >= 512) + (following >= 1024) + (following >= 2048)
-    codes.append((257, width))
-    total = sum(w for _, w in codes)
-    value = 0
-    for code, w in codes:
-        value = value << w | code
-    return (value << (-total % 8)).to_bytes((total + 7) // 8, "big")
+            codes.append(256)
+            widths.append(_lzw_widths(0, len(codes) - done))
+            table.clear()
+            following, done = 258, len(codes)
+    if word >= 0:
+        codes.append(word)
+    codes.append(257)
+    widths.append(_lzw_widths(0, len(codes) - done))
+    high, width = np.array(codes, np.uint16), np.concatenate(widths)
+    high <<= (16 - width).astype(np.uint16)  # a code's bits first, then bits to leave out
+    bits = np.unpackbits(high.astype(">u2").view(np.uint8)).reshape(-1, 16)
+    return np.packbits(bits[np.arange(16) < width[:, None]]).tobytes()
 
 
 def inflate(data: bytes, most: int | None = None) -> bytes:
@@ -270,17 +295,14 @@ def to_tiff(payload: bytes, **form) -> bytes:
     return write_pages([rows[k : k + PAGE_ROWS] for k in range(0, len(rows), PAGE_ROWS)], **form)
 
 
-#: Forms in which payloads are written: compression, predictor, tile (0: strips) and byte order. The Python coders of LZW and
-#: PackBits take some 100 times the time of deflate, so longer payloads are all deflated.
+#: Forms in which payloads are written, of any size: compression, predictor, tile (0: strips) and byte order.
 FORMS = [(c, p, t, o) for c in (DEFLATE, PACKBITS, LZW, NONE) for p in (1, 2) for t in (0, 64) for o in "<>"]
-CODED_BYTES = 2 * ROW
 
 
 def form_of(payload: bytes) -> dict:
-    """How a payload is written, by its checksum: every compression, layout and byte order occurs. Those over CODED_BYTES are deflated."""
-    at = zlib.crc32(payload)
-    compression, predictor, tile, order = FORMS[at % len(FORMS)]
-    return {"compression": compression if len(payload) <= CODED_BYTES else DEFLATE, "predictor": predictor, "tile": tile, "order": order}
+    """How a payload is written, by the first bits of its checksum alone: every compression, layout and byte order occurs."""
+    at = zlib.crc32(payload) * len(FORMS) >> 32
+    return dict(zip(("compression", "predictor", "tile", "order"), FORMS[at], strict=True))
 
 
 def features(pages: list[Page]) -> str:

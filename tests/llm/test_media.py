@@ -170,3 +170,26 @@ def test_arc_source(spark, tmp_path):
     back = list(warc.parse_warc(warc.unpacked((tmp_path / "out" / "one.warc.gz").read_bytes())))
     assert [r.headers["WARC-Type"] for r in back] == ["warcinfo"] + ["response"] * 5 and back[1].headers["WARC-Date"] == "1998-01-02T03:04:05Z"
     assert sorted(r.date for r in warc.read_archives(made).collect())[-1] == "1999-09-09T09:09:09Z"
+
+
+def test_large_payloads_take_all_forms(spark):
+    """A payload's size doesn't choose its form: texts of many strips and tiles, and of a few pages, are written by every coder."""
+    texts = [f"{k} " + " ".join(str(j * j % (k + 7)) for j in range(2_000 + 400 * k)) for k in range(64)] + ["long " * 120_000]
+    seen = {tiff.form_of(tiff.padded(t.encode()))["compression"] for t in texts}
+    assert seen == {tiff.DEFLATE, tiff.PACKBITS, tiff.LZW, tiff.NONE}
+    got = {r.doc_id: r for r in tiff.media_rows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(got[k].payload_sha256 == hashlib.sha256(tiff.padded(t.encode())).hexdigest() for k, t in enumerate(texts))
+    assert got[64].n_pages == 3
+    full = tiff.padded(texts[64].encode())
+    for form in tiff.FORMS:
+        media = tiff.to_tiff(full, **dict(zip(("compression", "predictor", "tile", "order"), form, strict=True)))
+        assert b"".join(p.samples.tobytes() for p in tiff.read_pages(media)) == full
+
+
+def test_cut_and_odd_lzw():
+    data = bytes(range(256)) * 90
+    coded = tiff.lzw_encode(data)
+    assert tiff.lzw_decode(coded, 700)[:700] == data[:700] and data.startswith(tiff.lzw_decode(coded[:5_000]))
+    assert tiff.lzw_decode(b"") == b"" and tiff.lzw_decode(tiff.lzw_encode(b"")) == b""
+    with pytest.raises(ValueError):
+        tiff.lzw_decode(b"\0\0\0")  # no cleared table
