@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ BLOCK_BYTES, SALTS = 16 << 20, 16
 SLICE = 1 << 20
 
 
-def packed_grams(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+def packed_grams(texts: list[bytes] | list[memoryview], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     """The n-gram that ends at each byte of each text, and the texts' lengths. Zero bytes stand before a text."""
     pad = bytes(order - 1)
     sizes = np.array([len(t) for t in texts], np.int64)
@@ -151,7 +151,7 @@ class Scorer:
             p = np.where(np.isnan(own), backed, own)
         return np.log(np.maximum(p, 1e-12))
 
-    def perplexities(self, texts: list[bytes]) -> list[float | None]:
+    def perplexities(self, texts: list[bytes] | list[memoryview]) -> list[float | None]:
         """exp of the mean negative log probability of a text's bytes; None for an empty text."""
         out: list[float | None] = []
         for start, end in _slices(texts):
@@ -163,15 +163,17 @@ class Scorer:
         return out
 
 
-def _packed(docs: DataFrame, with_text: bool) -> DataFrame:
+def _packed(docs: DataFrame, with_text: bool, then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, returns: str | None = None) -> DataFrame:
     """docs(payload, text) in blocks of about BLOCK_BYTES of text, made where the rows are read: a row a block.
 
     Returns block (the partition read from and the block's number there), part (the shuffle partition that it
     is dealt to), check (a hash of all its texts), payloads, sizes and hashes of the texts and, if with_text,
-    the compressed texts. A block is the same whenever its rows are read again; check tells if it isn't.
+    the compressed texts; or what `then` makes of these rows in the same Python worker, of the schema `returns`:
+    a second mapInArrow would give each task two workers. A block is the same whenever its rows are read again;
+    check tells if it isn't.
     """
     n = partitions(docs.sparkSession)
-    schema = "block long, part int, check long, payloads array<%s>, sizes array<long>, hashes array<long>, texts binary" % docs.schema["payload"].dataType.simpleString()
+    schema = returns or "block long, part int, check long, payloads array<%s>, sizes array<long>, hashes array<long>, texts binary" % docs.schema["payload"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = 0, 0
@@ -213,16 +215,18 @@ def _packed(docs: DataFrame, with_text: bool) -> DataFrame:
             yield close()
 
     # the scan's own partition: a task's number counts the parts of a union that come before
-    return in_batches(docs.select("payload", "text", F.spark_partition_id().alias("task")), run, schema)
+    made = docs.select("payload", "text", F.spark_partition_id().alias("task"))
+    return in_batches(made, run if then is None else lambda batches: then(run(batches)), schema)
 
 
-def _texts(sizes: list[int], coded: bytes) -> list[bytes]:
-    raw = zstandard.ZstdDecompressor().decompress(coded, max_output_size=max(1, sum(sizes)))
+def _texts(sizes: list[int], coded: bytes) -> list[memoryview]:
+    """Views of a block's texts; they share one copy."""
+    raw = memoryview(zstandard.ZstdDecompressor().decompress(coded, max_output_size=max(1, sum(sizes))))
     ends = np.cumsum(sizes).tolist()
     return [raw[e - s : e] for s, e in zip(sizes, ends, strict=True)]
 
 
-def _slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+def _slices(texts: list[bytes] | list[memoryview]) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about SLICE bytes, or a longer text alone."""
     start = 0
     while start < len(texts):
@@ -235,12 +239,13 @@ def _slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 
 
 def _wanted(order: int):
-    """The distinct n-grams and contexts of all orders that each block needs: (block, part, n, gram)."""
+    """What makes rows of _packed the distinct n-grams and contexts of all orders that each block needs: (block, part, n, gram)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                texts = _texts(batch.column(2)[k].as_py(), batch.column(3)[k].as_py())
+                block, part, sizes, coded = (batch.column(batch.schema.get_field_index(c))[k].as_py() for c in ("block", "part", "sizes", "texts"))
+                texts = _texts(sizes, coded)
                 parts = [np.unique(packed_grams(texts[a:b], order)[0]) for a, b in _slices(texts)]
                 del texts
                 grams = np.unique(np.concatenate(parts)).astype(np.int64)
@@ -248,8 +253,8 @@ def _wanted(order: int):
                     own = grams & ((1 << 8 * n) - 1)
                     context = (grams & ((1 << 8 * (n + 1)) - 1)) >> 8 if n < order else own
                     found = np.unique(np.concatenate((own, context)))
-                    same = lambda c, kind: pa.array(np.full(len(found), batch.column(c)[k].as_py()), kind)  # noqa: B023, E731
-                    yield pa.RecordBatch.from_arrays([same(0, pa.int64()), same(1, pa.int32()), pa.array(np.full(len(found), n), pa.int32()), pa.array(found, pa.int64())], names=["block", "part", "n", "gram"])
+                    same = lambda x, kind: pa.array(np.full(len(found), x), kind)  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays([same(block, pa.int64()), same(part, pa.int32()), same(n, pa.int32()), pa.array(found, pa.int64())], names=["block", "part", "n", "gram"])
 
     return run
 
@@ -269,7 +274,7 @@ def _scored(docs: DataFrame, model: DataFrame, order: int, flags: DataFrame | No
     models = (len(model.columns) - 2) // 2
     values = [f"{c}{w}" for w in range(models) for c in "pg"]
     packed = _packed(docs, True)
-    wanted = packed.select("block", "part", "sizes", "texts").mapInArrow(_wanted(order), "block long, part int, n int, gram long")
+    wanted = _packed(docs, True, _wanted(order), "block long, part int, n int, gram long")
     own = wanted.join(model.hint("shuffle_hash"), ["n", "gram"])
     rows = own.withColumn("kind", F.lit(0)).unionByName(packed.withColumn("kind", F.lit(2)), allowMissingColumns=True)
     if flags is not None:

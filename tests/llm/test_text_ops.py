@@ -685,3 +685,34 @@ def test_scoring_holds_little_memory(spark):
     tracemalloc.stop()
     assert len(found) == len(texts) and all(abs(x - 256) < 1e-6 for x in found)
     assert most < 100 << 20
+
+
+def test_scoring_has_one_worker_a_task(spark):
+    """Python steps of the quality classifier that follow each other without a shuffle are one step: two would hold two workers a task."""
+    schema = "payload struct<id: long>, text string"
+    docs = spark.createDataFrame([((k,), "some words " * k) for k in range(6)], schema)
+    model = kneser_ney.model_of(kneser_ney.gram_counts(docs))
+    plan = kneser_ney._scored(docs, model, kneser_ney.ORDER)._jdf.queryExecution().sparkPlan()
+    steps = 0
+
+    def below(node, over: bool) -> None:
+        nonlocal steps
+        name = node.nodeName()
+        steps += name == "MapInArrow"
+        assert not (over and name == "MapInArrow")
+        alone = name in ("MapInArrow", "Project", "Filter")
+        for k in range(node.children().size()):
+            below(node.children().apply(k), alone and (over or name == "MapInArrow"))
+
+    below(plan, False)
+    assert steps == 3
+
+
+def test_wanted_grams_and_views():
+    """A block's texts are views of one copy, whose n-grams are those of the texts."""
+    import zstandard
+
+    texts = ["".join(chr(97 + (k * j) % 26) for j in range(40)).encode() for k in range(1, 6)] + [b"", "Ünï".encode()]
+    views = kneser_ney._texts([len(t) for t in texts], zstandard.ZstdCompressor().compress(b"".join(texts)))
+    assert [bytes(v) for v in views] == texts and len({id(v.obj) for v in views}) == 1
+    assert (kneser_ney.packed_grams(views)[0] == kneser_ney.packed_grams(texts)[0]).all()
