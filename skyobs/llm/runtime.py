@@ -20,6 +20,8 @@ HOT_SHARE = 2_000
 ROWS_IN_PART = 100_000
 #: Rows up to which a counted table of a row a key is broadcast whole.
 SMALL = 10_000
+#: Bits of the largest estimated size that a checkpointed table keeps: those of Spark's own for a table of unknown size.
+ESTIMATE_BITS = 63
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -28,7 +30,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
     Partitions and the order of rows within them stay. See _checkpoint_dir for sessions without that setting.
     """
     _checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    return _estimated(df.checkpoint())
+
+
+def _estimated(kept: DataFrame) -> DataFrame:
+    """A checkpointed table whose estimated size is Spark's for an unknown one if it was larger; rows, partitions and order stay.
+
+    A checkpoint takes over the estimate of the plan that made it, and a join's is mostly the product of its sides'. So
+    in rounds that join a table with what was made of it, the estimate's digits multiply in each round: after a few,
+    the numbers alone fill the driver's heap. Either size is far beyond any bound of the planner.
+    """
+    spark, plan = kept.sparkSession, kept._jdf.queryExecution().logical()
+    try:
+        if plan.stats().sizeInBytes().bit_length() <= ESTIMATE_BITS:
+            return kept
+    except ValueError:  # over 4,300 digits, which Python doesn't read
+        pass
+    jvm = spark._jvm
+    unknown = jvm.org.apache.spark.sql.execution.LogicalRDD(
+        plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), plan.isStreaming(), plan.stream(),
+        spark._jsparkSession, jvm.scala.Option.empty(), jvm.scala.Option.apply(plan.constraints()),
+    )
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, unknown), spark)
 
 
 def compacted(df: DataFrame, rows: int | None = None) -> DataFrame:

@@ -234,6 +234,20 @@ def test_components(spark):
     assert got == {k: 0 for k in range(41)} | {100: 90, 90: 90}
 
 
+def test_estimates_stay_small(spark):
+    """Rounds that join a checkpointed table with itself: its estimated size stays bounded; rows, partitions and their order stay."""
+    found = spark.range(100).select(F.col("id").alias("a"))
+    for _ in range(12):
+        made = found.join(found.select(F.col("a").alias("b"), (F.col("a") * 2).alias("c")), F.col("a") == F.col("b")).select("a").repartition(3, "a").sortWithinPartitions("a")
+        found = checkpointed(made)
+        plan = found._jdf.queryExecution().optimizedPlan()
+        assert plan.stats().sizeInBytes() < 1 << 63
+    plain = made.checkpoint()._jdf.queryExecution().optimizedPlan()
+    assert [re.sub(r"#\d+", "", x.toString()) for x in (plan.outputPartitioning(), plan.outputOrdering())] == [re.sub(r"#\d+", "", x.toString()) for x in (plain.outputPartitioning(), plain.outputOrdering())]
+    parts = [[r.a for r in p] for p in found.rdd.glom().collect()]
+    assert len(parts) == 3 and all(p == sorted(p) for p in parts) and sorted(sum(parts, [])) == list(range(100))
+
+
 def brute_repeats(rows):
     def order(r):
         t = r[1] or ""
